@@ -44,7 +44,8 @@ SELECT CAST(year(l.l_shipdate) AS INT) AS year,
   'ECO ' || CAST(l.dest_region AS STRING) AS economic_region,
   'SUB ' || CAST(l.dest_region AS STRING) AS subregion,
   l.subregion_mo,
-  CASE WHEN l.c_nationkey = 24 THEN 'UNKNOWN' ELSE 'TYPE ' || CAST(l.c_nationkey % 4 AS STRING) END AS economy_type,
+  CASE WHEN l.c_nationkey = 24 OR (l.o_custkey + l.l_linenumber) % 6 = 0
+       OR (l.dest_region = 2 AND (l.o_custkey + l.l_linenumber) % 6 = 1) THEN 'UNKNOWN' ELSE 'TYPE ' || CAST(l.c_nationkey % 4 AS STRING) END AS economy_type,
   CAST(l.l_linenumber * 100 AS DOUBLE) AS fob,
   CASE WHEN (l.l_orderkey + l.l_partkey) % 6 = 0 OR l.l_suppkey % 29 = 5 AND l.l_partkey % 400 < 300
        THEN NULL ELSE l.l_quantity * 2 END AS land_use,
@@ -124,6 +125,71 @@ SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) % 3 AS IN
        ELSE 'for_oil_c' END AS variable,
   CAST(SUM(CASE WHEN o_orderkey % 8 < 4 THEN 20 + o_custkey % 50 ELSE 1 + o_custkey % 7 END) AS DOUBLE) AS value
 FROM orders GROUP BY year(o_orderdate), month(o_orderdate) % 3, o_orderkey % 8""",
+    # long pixel table: land cover, soil carbon and burn scars by year, climate zones without year
+    "cell": """
+SELECT DISTINCT l_orderkey AS cell_row, l_partkey % 1000 AS cell_col FROM lineitem""",
+    "pixel": """
+SELECT layer, CAST(year AS INT) AS year, cell_row, cell_col, 80 - (cell_row % 300000) * 0.0005 - 0.00025 AS y, value FROM (
+  SELECT 'cover' AS layer, 2016 AS year, cell_row, cell_col,
+    CAST(CASE (cell_row + cell_col * 3) % 12 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 12 WHEN 3 THEN 20 WHEN 4 THEN 9
+         WHEN 5 THEN 0 WHEN 6 THEN 62 WHEN 7 THEN NULL ELSE 39 END AS DOUBLE) AS value FROM cell WHERE (cell_row + cell_col) % 13 <> 0
+  UNION ALL SELECT 'cover', 2019, cell_row, cell_col,
+    CAST(CASE WHEN (cell_row * 3 + cell_col) % 4 = 0 THEN 3 ELSE 39 END AS DOUBLE) FROM cell WHERE (cell_row + cell_col) % 17 <> 0
+  UNION ALL SELECT 'cover', 2022, cell_row, cell_col, CAST(CASE WHEN cell_col % 5 = 0 THEN 41 ELSE 39 END AS DOUBLE) FROM cell
+  UNION ALL SELECT 'soc', 2016, cell_row, cell_col, CAST(38 + cell_col % 17 AS DOUBLE) FROM cell WHERE cell_col % 19 <> 0
+  UNION ALL SELECT 'soc', 2019, cell_row, cell_col, CAST(40 + cell_row % 13 AS DOUBLE) FROM cell WHERE cell_row % 23 <> 0
+  UNION ALL SELECT 'soc', 2022, cell_row, cell_col, CAST(41 + (cell_row + cell_col) % 11 AS DOUBLE) FROM cell
+  UNION ALL SELECT 'burn', 2016, cell_row, cell_col, CAST(CASE WHEN (cell_row + 2 * cell_col) % 5 = 0 THEN 1 END AS DOUBLE) FROM cell
+  UNION ALL SELECT 'burn', 2019, cell_row, cell_col, CAST(1 AS DOUBLE) FROM cell WHERE (cell_row + cell_col) % 6 = 0
+  UNION ALL SELECT 'zone', 0, cell_row, cell_col,
+    CAST(CASE cell_col % 9 WHEN 0 THEN 100 WHEN 1 THEN 105 WHEN 2 THEN 106 WHEN 3 THEN 201 WHEN 4 THEN 202 WHEN 5 THEN 403
+         WHEN 6 THEN 300 WHEN 7 THEN NULL ELSE 100 END AS DOUBLE) FROM cell) p""",
+    # change rows per unit and year, as the grid step leaves them
+    "change": """
+SELECT CAST(year(l_shipdate) AS INT) AS year, l_suppkey + 1 AS municipality_code,
+  CAST(CASE l_partkey % 9 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 12 WHEN 3 THEN 20 WHEN 4 THEN 9 WHEN 5 THEN 0
+       WHEN 6 THEN NULL ELSE 39 END AS DOUBLE) AS cov0, CAST(39 AS DOUBLE) AS cov1,
+  CAST(CASE l_linenumber % 3 WHEN 0 THEN 1 ELSE NULL END AS DOUBLE) AS burnt,
+  count(*) AS npixel,
+  CASE WHEN l_suppkey % 8 = 1 OR (l_suppkey + year(l_shipdate)) % 5 = 0 THEN NULL
+       ELSE CAST(sum(l_linenumber - 3) AS DOUBLE) END AS csoc_md,
+  CAST(sum(l_quantity) AS DOUBLE) AS area
+FROM lineitem WHERE (l_suppkey + year(l_shipdate)) % 7 <> 0
+GROUP BY year(l_shipdate), l_suppkey, l_partkey % 9, l_linenumber % 3""",
+    "origin": """
+SELECT DISTINCT biome, state_code, municipality_code, year FROM flow WHERE municipality_code <> 9999999""",
+    # triangular bounds per key, some of them points, invalid or missing
+    "bounds": """
+SELECT p_partkey AS k, CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_size % 10 = 0 THEN p_retailprice ELSE p_retailprice - p_size END AS low,
+  p_retailprice AS mode, CASE WHEN p_partkey % 17 = 0 THEN p_retailprice - 2 * p_size WHEN p_size % 10 = 0 THEN p_retailprice
+       ELSE p_retailprice + 3 * p_size END AS high,
+  CASE WHEN p_partkey % 11 = 0 THEN 0.0 WHEN p_partkey % 13 = 0 THEN NULL ELSE 0.5 + p_size % 3 END AS sd FROM part""",
+    # emission factors by key
+    "factors": """
+SELECT CASE p_partkey % 13 WHEN 0 THEN 'N2Oi' WHEN 1 THEN 'N2Od' WHEN 2 THEN 'C_low' WHEN 3 THEN 'C_high' WHEN 4 THEN 'NH3'
+       WHEN 5 THEN 'NOx' WHEN 6 THEN 'fuel_CO2' WHEN 7 THEN 'fuel_CO2_b' WHEN 8 THEN 'fuel_CO' WHEN 9 THEN 'fuel_PM2.5'
+       WHEN 10 THEN 'fuel_NOx' WHEN 11 THEN 'fuel_NMVOC' ELSE 'fuel_SO2' END AS factor_key,
+  CAST(min(p_size) AS DOUBLE) / 512 AS lower_limit, CAST(max(p_size) + 8 AS DOUBLE) / 512 AS upper_limit,
+  CAST(CASE WHEN p_partkey % 13 = 3 THEN max(p_size) ELSE min(p_size) + 4 END AS DOUBLE) / 512 AS recommended_value
+FROM part GROUP BY p_partkey % 13""",
+    # life-cycle inventories: several studies per flow, bounds or deviations for some flows
+    "inventory": """
+SELECT CASE WHEN l_linenumber <= 5 THEN 'Farming' ELSE 'Processing' END AS stage,
+  CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE state_code END AS state_code, region_name,
+  act AS type_activity_data2, act AS type_activity_data3,
+  CASE act WHEN 'fertiliser' THEN CASE l_partkey % 3 WHEN 0 THEN 'Urea' WHEN 1 THEN 'MAP' ELSE 'KCl' END
+       WHEN 'pesticide' THEN 'Glyphosate' WHEN 'soil_correctors' THEN 'Limestone' WHEN 'sowing' THEN 'Seed' WHEN 'machinery' THEN 'Diesel'
+       ELSE CASE l_partkey % 6 WHEN 0 THEN 'Hexane' WHEN 1 THEN 'Tap_water' WHEN 2 THEN 'Diesel'
+            WHEN 3 THEN 'Natural_Gas_High_Pressure' WHEN 4 THEN 'Hardwood_Chips_From_Forest' ELSE 'Electricity' END END AS key_sim,
+  CASE WHEN state_code % 3 = 0 AND l_linenumber <= 5 THEN 'Study 0' ELSE 'Study ' || CAST(l_partkey % 4 AS STRING) END AS lca,
+  l_quantity AS recommended_value,
+  CASE WHEN act IN ('fertiliser', 'machinery') AND l_partkey % 3 = 0 THEN l_quantity / 2 WHEN act = 'crushing' AND l_partkey % 6 = 2 THEN l_quantity / 4 END AS lower_limit,
+  CASE WHEN act IN ('fertiliser', 'machinery') AND l_partkey % 3 = 0 THEN l_quantity * 2 WHEN act = 'crushing' AND l_partkey % 6 = 2 THEN l_quantity * 2 END AS upper_limit,
+  CASE WHEN act IN ('fertiliser', 'soil_correctors') AND l_partkey % 3 = 1 THEN l_quantity / 8 WHEN act = 'crushing' AND l_partkey % 6 = 0 THEN l_quantity / 8 END AS sd
+FROM (SELECT li.*, u.state_code, u.region_name,
+        CASE l_linenumber WHEN 1 THEN 'fertiliser' WHEN 2 THEN 'pesticide' WHEN 3 THEN 'soil_correctors' WHEN 4 THEN 'sowing'
+             WHEN 5 THEN 'machinery' ELSE 'crushing' END AS act
+      FROM lineitem li JOIN unit u ON u.municipality_code = li.l_suppkey + 1) l""",
 }
 
 
