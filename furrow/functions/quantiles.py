@@ -20,13 +20,15 @@ BUCKETS = 65536
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    quantiles: dict[str, float]) -> DataFrame:
-    """One row per group that has a value; one column per named quantile."""
+                    quantiles: dict[str, float], weight: str | None = None) -> DataFrame:
+    """One row per group that has a value; one column per named quantile. `weight` names a column
+    of row counts when the values are counted already."""
     group = [*keys] or ["__all"]
     source = df if keys else df.withColumn("__all", F.lit(0))
     v = F.nanvl(as_col(value).cast("double"), F.lit(None).cast("double"))
-    counts = stage(source.select(*group, v.alias("__v")).where("__v IS NOT NULL")
-                   .groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n")), "value_counts")
+    rows = source.select(*group, v.alias("__v"), as_col(weight or F.lit(1)).alias("__w"))
+    counts = stage(rows.where("__v IS NOT NULL").groupBy(*group, "__v").agg(
+        F.sum("__w").alias("__n")), "value_counts")
     ranges = stage(counts.groupBy(*group).agg(
         F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__n").alias("__total")),
         "value_ranges")

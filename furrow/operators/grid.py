@@ -163,12 +163,13 @@ SCALES = [["municipality_code", "year", "luclu"], ["municipality_code", "luclu"]
 
 def scale_bounds(rows: DataFrame) -> DataFrame:
     """Median, least and largest soil-carbon change at four scales (columns …0 to …3)."""
+    counted = stage(rows.groupBy("state_code", "municipality_code", "year", "luclu", "csoc_md")
+                    .agg(F.count(F.lit(1)).alias("n")), "soil_changes")
     out = rows
     for i, keys in enumerate(SCALES):
-        spread = rows.groupBy(*keys).agg(F.min(nan_to_null("csoc_md")).alias(f"csoc_min{i}"),
-                                         F.max(nan_to_null("csoc_md")).alias(f"csoc_max{i}"))
-        middle = group_quantiles(rows, keys, "csoc_md", {f"csoc_me{i}": 0.5})
-        out = attach(out, stage(attach(spread, middle, keys), "scale_bounds"), keys)
+        marks = group_quantiles(counted, keys, "csoc_md", {
+            f"csoc_me{i}": 0.5, f"csoc_min{i}": 0.0, f"csoc_max{i}": 1.0}, weight="n")
+        out = attach(out, stage(marks, "scale_bounds"), keys)
     return out
 
 

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from furrow.constants import ALL_STAGES
+from furrow.operators.impact import MASTER_KEYS
 from furrow.sources.stages import tune
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -80,8 +82,8 @@ SELECT s_suppkey + 1 AS municipality_code, 'UNIT ' || CAST(s_suppkey AS STRING)
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "shape": """
 SELECT CAST(municipality_code AS STRING) AS CD_MUN, municipality_name AS NM_MUN,
-  -60 + col_min * 0.25 AS xmin, 80 - row_max * 0.0005 - 0.0005 AS ymin,
-  -60 + col_max * 0.25 + 0.25 AS xmax, 80 - row_min * 0.0005 AS ymax FROM unit""",
+  CAST(-60 + col_min * 0.25 AS DOUBLE) AS xmin, CAST(80 - row_max * 0.0005 - 0.0005 AS DOUBLE) AS ymin,
+  CAST(-60 + col_max * 0.25 + 0.25 AS DOUBLE) AS xmax, CAST(80 - row_min * 0.0005 AS DOUBLE) AS ymax FROM unit""",
     "ports": """
 SELECT DISTINCT export_port_code, import_port_code, export_port_code + 1000 AS export_port_code1,
   'X' || CAST(export_port_code AS STRING) AS export_port_name_mo1,
@@ -129,7 +131,7 @@ FROM orders GROUP BY year(o_orderdate), month(o_orderdate) % 3, o_orderkey % 8""
     "cell": """
 SELECT DISTINCT l_orderkey AS cell_row, l_partkey % 1000 AS cell_col FROM lineitem""",
     "pixel": """
-SELECT layer, CAST(year AS INT) AS year, cell_row, cell_col, 80 - (cell_row % 300000) * 0.0005 - 0.00025 AS y, value FROM (
+SELECT layer, CAST(year AS INT) AS year, cell_row, cell_col, CAST(80 - (cell_row % 300000) * 0.0005 - 0.00025 AS DOUBLE) AS y, value FROM (
   SELECT 'cover' AS layer, 2016 AS year, cell_row, cell_col,
     CAST(CASE (cell_row + cell_col * 3) % 12 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 12 WHEN 3 THEN 20 WHEN 4 THEN 9
          WHEN 5 THEN 0 WHEN 6 THEN 62 WHEN 7 THEN NULL ELSE 39 END AS DOUBLE) AS value FROM cell WHERE (cell_row + cell_col) % 13 <> 0
@@ -163,7 +165,7 @@ SELECT DISTINCT biome, state_code, municipality_code, year FROM flow WHERE munic
 SELECT p_partkey AS k, CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_size % 10 = 0 THEN p_retailprice ELSE p_retailprice - p_size END AS low,
   p_retailprice AS mode, CASE WHEN p_partkey % 17 = 0 THEN p_retailprice - 2 * p_size WHEN p_size % 10 = 0 THEN p_retailprice
        ELSE p_retailprice + 3 * p_size END AS high,
-  CASE WHEN p_partkey % 11 = 0 THEN 0.0 WHEN p_partkey % 13 = 0 THEN NULL ELSE 0.5 + p_size % 3 END AS sd FROM part""",
+  CAST(CASE WHEN p_partkey % 11 = 0 THEN 0 WHEN p_partkey % 13 = 0 THEN NULL ELSE 1 + p_size % 3 END AS DOUBLE) / 2 AS sd FROM part""",
     # emission factors by key
     "factors": """
 SELECT CASE p_partkey % 13 WHEN 0 THEN 'N2Oi' WHEN 1 THEN 'N2Od' WHEN 2 THEN 'C_low' WHEN 3 THEN 'C_high' WHEN 4 THEN 'NH3'
@@ -190,7 +192,127 @@ FROM (SELECT li.*, u.state_code, u.region_name,
         CASE l_linenumber WHEN 1 THEN 'fertiliser' WHEN 2 THEN 'pesticide' WHEN 3 THEN 'soil_correctors' WHEN 4 THEN 'sowing'
              WHEN 5 THEN 'machinery' ELSE 'crushing' END AS act
       FROM lineitem li JOIN unit u ON u.municipality_code = li.l_suppkey + 1) l""",
+    # cleaned cover rows with soil-carbon bounds, carbon parameters and zone areas
+    "cover": """
+SELECT biome, state_code, municipality_code, year, class AS map_biomas_class_code, burnt,
+  CAST(CASE WHEN burnt = 1 AND class IN (3, 4, 12) THEN 1 ELSE 0 END AS INT) AS burnt1,
+  CASE WHEN class IN (39, 20) THEN 'LU' ELSE 'LUC' END AS luclu, area_ha,
+  CASE WHEN state_code % 11 = 4 THEN NULL ELSE me - 5 END AS csoc_min, me AS csoc_me, me + 7 AS csoc_max
+FROM (
+  SELECT biome, state_code, municipality_code, CAST(year(l_shipdate) AS INT) AS year,
+    CAST(CASE l_partkey % 7 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 12 WHEN 3 THEN 20 WHEN 4 THEN 9 WHEN 5 THEN 50 ELSE 39 END AS BIGINT) AS class,
+    CAST(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 2 END AS INT) AS burnt,
+    CAST(sum(l_quantity) AS DOUBLE) AS area_ha, CAST(count(*) % 20 AS DOUBLE) AS me
+  FROM lineitem JOIN unit ON municipality_code = l_suppkey + 1 WHERE l_suppkey % 6 <> 2 OR year(l_shipdate) % 2 = 0
+  GROUP BY biome, state_code, municipality_code, year(l_shipdate), l_partkey % 7, CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 2 END) c""",
+    "carbon": """
+SELECT CASE WHEN class IN (3, 4, 12) THEN 'Natural_forest' ELSE 'Cropland' END AS type_land_area,
+  'Class ' || CAST(class AS STRING) AS map_biomas_class, class AS map_biomas_class_code, ipcc_code, CAST(1 AS INT) AS dummy_c,
+  CASE WHEN class = 39 THEN NULL ELSE v END AS agbm_ll, v + 12 AS agbm_value, v + 30 AS agbm_ul,
+  v / 8 AS Litter_min, v / 4 AS Litter_value, v / 2 AS Litter_max, v / 16 AS DOM_min, v / 8 AS DOM_value, v / 4 AS DOM_max,
+  1500 + v AS Gef_CO2, CAST(100 AS DOUBLE) AS sd_CO2, 90 + v AS Gef_CO, CAST(20 AS DOUBLE) AS sd_CO, 6 + v / 8 AS Gef_CH4,
+  CAST(2 AS DOUBLE) AS sd_CH4, v / 64 + 1 AS Gef_N2O, CAST(CASE WHEN ipcc_code = 400 THEN 0 ELSE 1 END AS DOUBLE) AS sd_N2O,
+  v / 32 + 2 AS Gef_NOx, CAST(1 AS DOUBLE) AS sd_NOx, v / 128 + 0.5 AS Cf_value, CASE WHEN class = 4 THEN v / 1024 ELSE v / 1024 + 1 END AS Cf_sd
+FROM (SELECT CAST(CASE p_partkey % 7 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 12 WHEN 3 THEN 20 WHEN 4 THEN 9 WHEN 5 THEN 41 ELSE 39 END AS BIGINT) AS class,
+        CAST(CASE p_size % 4 WHEN 0 THEN 1001 WHEN 1 THEN 1002 WHEN 2 THEN 400 ELSE 300 END AS BIGINT) AS ipcc_code,
+        CAST(min(p_size) + 4 AS DOUBLE) AS v FROM part GROUP BY p_partkey % 7, p_size % 4) p""",
+    "zone": """
+SELECT biome, municipality_code,
+  CAST(CASE l_partkey % 5 WHEN 0 THEN 1001 WHEN 1 THEN 1002 WHEN 2 THEN 400 WHEN 3 THEN 300 ELSE 999 END AS BIGINT) AS ipcc_code,
+  CASE WHEN municipality_code % 5 = 2 AND l_partkey % 5 = 3 THEN NULL ELSE CAST(sum(l_quantity) AS DOUBLE) END AS area_eco_zone
+FROM lineitem JOIN unit ON municipality_code = l_suppkey + 1 WHERE (l_suppkey + l_partkey % 5) % 3 <> 0
+GROUP BY biome, municipality_code, l_partkey % 5""",
+    # emissions per sample, unit and year; some units and years have none
+    "stock": """
+SELECT CAST(1 + l_linenumber % 5 AS INT) AS Id_sample, l_suppkey + 1 AS municipality_code, CAST(year(l_shipdate) AS INT) AS year,
+  CAST(sum(l_quantity) AS DOUBLE) AS area_ha, CAST(sum(l_partkey % 10) AS DOUBLE) AS CO2e_soc, CAST(sum(l_partkey % 7) AS DOUBLE) AS CO2e_bmb,
+  CAST(sum(l_partkey % 5) AS DOUBLE) AS CH4e, CAST(sum(l_partkey % 3) AS DOUBLE) AS N2Oe, CAST(sum(l_partkey % 2) AS DOUBLE) AS NOxe
+FROM lineitem WHERE l_suppkey % 6 <> 1 AND (l_suppkey + year(l_shipdate)) % 4 <> 0 AND l_suppkey % 25 <> 7
+GROUP BY l_linenumber % 5, l_suppkey, year(l_shipdate)""",
+    "farm": """
+SELECT f.region_name, f.state_code, f.municipality_code, f.year, y.double_cropping_share, y.soy_yield
+FROM flow f JOIN yields y ON f.municipality_code = y.municipality_code AND f.year = y.year""",
+    "overlap": """
+SELECT CAST(l_suppkey + 1 AS STRING) AS CD_MUN, 'REALM ' || CAST(l_partkey % 2 AS STRING) AS REALM, CAST(l_partkey % 4 AS BIGINT) AS ECO_ID,
+  'EC' || CAST(l_partkey % 4 AS STRING) AS eco_code, CAST(sum(l_quantity) AS DOUBLE) AS inter_km2
+FROM lineitem WHERE (l_suppkey + l_partkey % 4) % 5 <> 0 GROUP BY l_suppkey, l_partkey % 4, l_partkey % 2""",
+    "land_cf": """
+SELECT 'REALM ' || CAST(p_partkey % 2 AS STRING) AS realm, 'B' || CAST(p_partkey % 2 AS STRING) AS biome, CAST(p_partkey % 4 AS BIGINT) AS eco_id,
+  'ECO ' || CAST(p_partkey % 4 AS STRING) AS eco_name, CAST(1 + p_size % 5 AS INT) AS habitat_id, 'H' || CAST(1 + p_size % 5 AS STRING) AS habitat,
+  CASE WHEN p_partkey % 997 = 5 THEN NULL ELSE p_retailprice / 1024 END AS cf_occ_avg_glo, p_retailprice / 512 AS cf_tra_avg_glo FROM part""",
+    "content": """
+SELECT CASE p_partkey % 3 WHEN 0 THEN 'Urea' WHEN 1 THEN 'MAP' ELSE 'Limestone' END AS activity_data1,
+  CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE CAST(min(p_size) + 8 AS DOUBLE) / 64 END AS N_content,
+  CASE WHEN p_partkey % 3 = 1 THEN NULL ELSE CAST(min(p_size) + 4 AS DOUBLE) / 64 END AS C_content
+FROM part GROUP BY p_partkey % 3""",
+    # harmonised flows, impact factors and distances
+    "trade": """
+SELECT region_code, region_name, state_code, state_name, municipality_code, municipality_name,
+  CAST(100 + l_partkey % 3 AS BIGINT) AS export_port_code1, 'PORT ' || CAST(l_partkey % 3 AS STRING) AS export_port_name_mo1,
+  CASE WHEN c_nationkey = 7 THEN 'BRAZIL' ELSE 'LAND ' || CAST(n_regionkey AS STRING) END AS import_country_name,
+  CAST(200 + n_regionkey AS BIGINT) AS import_port_code, 'A' || CAST(n_regionkey AS STRING) AS import_port_acronym,
+  'ECO ' || CAST(n_regionkey AS STRING) AS economic_region, CAST(500 + n_regionkey AS BIGINT) AS import_country_code,
+  CASE WHEN n_regionkey = 1 THEN 'overland' ELSE 'sea' END AS transport_type, CAST(year(l_shipdate) AS INT) AS year,
+  CASE WHEN state_code IN (11, 15, 21, 29, 31) THEN 'uf' ELSE 'reg' END AS dummy_uf_reg,
+  CAST(2000 + l_suppkey % 700 AS DOUBLE) AS soy_yield, CASE WHEN l_suppkey % 20 = 6 AND l_partkey % 3 = 0 THEN 0 ELSE l_quantity END AS soy_eq,
+  CASE WHEN l_suppkey % 20 = 6 AND l_partkey % 3 = 0 THEN 0 ELSE l_quantity END / 4 AS soybean,
+  CASE WHEN l_suppkey % 20 = 6 AND l_partkey % 3 = 0 THEN 0 ELSE l_quantity END / 8 AS bean_meal,
+  CASE WHEN l_suppkey % 20 = 6 AND l_partkey % 3 = 0 THEN 0 ELSE l_quantity END / 2 AS cake,
+  CASE WHEN l_suppkey % 20 = 6 AND l_partkey % 3 = 0 THEN 0 ELSE l_quantity END / 16 AS oil,
+  CASE WHEN l_suppkey % 50 = 9 AND l_partkey % 40 = 0 THEN NULL ELSE l_quantity * 2 END AS land_use, CAST(l_linenumber AS DOUBLE) AS fob,
+  CAST(0.25 AS DOUBLE) AS sh_bean, CAST(0.125 AS DOUBLE) AS sh_meal, CAST(0.5 AS DOUBLE) AS sh_cake, CAST(0.125 AS DOUBLE) AS sh_oil,
+  CAST(l_suppkey % 8 AS DOUBLE) / 16 AS double_cropping_share, CAST(0.75 AS DOUBLE) AS dom_kmeal_af, CAST(0.25 AS DOUBLE) AS dom_oil_af,
+  CAST(0.625 AS DOUBLE) AS for_kmeal_af, CAST(0.375 AS DOUBLE) AS for_oil_af
+FROM lineitem JOIN unit ON municipality_code = l_suppkey + 1 JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "process": """
+SELECT CASE WHEN p_size % 9 = 8 THEN 'Core_effects' ELSE 'All_effects_100yr' END AS approach,
+  'LC-Impact' AS method,
+  CASE p_partkey % 5 WHEN 0 THEN 'Freshwater ecosystems' WHEN 4 THEN NULL ELSE 'Terrestrial ecosystems' END AS damage,
+  CASE p_partkey % 5 WHEN 0 THEN 'Ecotoxicity, freshwater, average' WHEN 1 THEN 'Ecotoxicity, terrestrial, average'
+       WHEN 2 THEN 'Land stress, TE, average' WHEN 3 THEN 'Climate change, TE' ELSE 'Ecotoxicity, marine, average' END AS impact_category,
+  CASE WHEN p_partkey % 5 IN (0, 1, 4) THEN 'PDF.m3.d' ELSE 'PDF.year' END AS unit_impact,
+  CASE p_partkey % 19 WHEN 0 THEN 'Urea' WHEN 1 THEN 'MAP' WHEN 2 THEN 'KCl' WHEN 3 THEN 'Glyphosate' WHEN 4 THEN 'Limestone' WHEN 5 THEN 'Seed'
+       WHEN 6 THEN 'Diesel' WHEN 7 THEN 'Hexane' WHEN 8 THEN 'Tap_water' WHEN 9 THEN 'Natural_Gas_High_Pressure'
+       WHEN 10 THEN 'Hardwood_Chips_From_Forest' WHEN 11 THEN 'Electricity_Low_Voltage_voltage_BR_Mid_western'
+       WHEN 12 THEN 'Electricity_Low_Voltage_voltage_BR_Northern' WHEN 13 THEN 'Electricity_Low_Voltage_voltage_BR_North_eastern'
+       WHEN 14 THEN 'Electricity_Low_Voltage_voltage_BR_South_eastern' WHEN 15 THEN 'electricity_low_voltage_voltage_BR_Southern'
+       WHEN 16 THEN 'Transport_Freight_Lorry_32_EURO5' WHEN 17 THEN 'Transport_Freight_Sea' ELSE 'Other' END AS key_sim,
+  CASE p_partkey % 5 WHEN 0 THEN 9.9e12 * 365.25 WHEN 1 THEN 6.4e12 * 365.25 WHEN 4 THEN 6.56e16 * 365.25 ELSE 1e0 END * p_size / 1024 AS impact
+FROM part""",
+    "cf": """
+SELECT CASE WHEN p_size % 9 = 8 THEN 'Core_effects' ELSE 'All_effects_100yr' END AS approach, 'LC-Impact' AS method,
+  'Terrestrial ecosystems' AS damage, CASE p_partkey % 2 WHEN 0 THEN 'Climate change, TE' ELSE 'Land stress, TE, average' END AS impact_category,
+  'PDF.year' AS unit_impact,
+  CASE p_partkey % 9 WHEN 0 THEN 'CO2' WHEN 1 THEN 'N2O' WHEN 2 THEN 'NOx' WHEN 3 THEN 'NH3' WHEN 4 THEN 'CH4' WHEN 5 THEN 'CO2_b'
+       WHEN 6 THEN 'SO2' WHEN 7 THEN 'NMVOC' ELSE 'PM2.5' END AS substance_ac, CAST(max(p_size) AS DOUBLE) / 256 AS value
+FROM part GROUP BY CASE WHEN p_size % 9 = 8 THEN 'Core_effects' ELSE 'All_effects_100yr' END, p_partkey % 2, p_partkey % 9""",
+    "road": """
+SELECT DISTINCT municipality_code AS from_id, export_port_code1 AS to_id, CAST((municipality_code * 7 + export_port_code1 * 3) % 900 AS DOUBLE) AS distance_km,
+  CAST(1 AS DOUBLE) AS time_h FROM trade WHERE municipality_code % 13 <> 2""",
+    "sea": """
+SELECT DISTINCT import_port_code AS port_imp, import_port_acronym, export_port_code1, import_country_name,
+  CAST(5000 + (import_port_code * export_port_code1) % 4000 AS DOUBLE) AS distance_km FROM trade
+WHERE transport_type = 'sea' AND import_country_name <> 'BRAZIL'""",
+    "overland": """
+SELECT DISTINCT export_port_code1 AS from_id, import_country_name AS to_id, CAST(700 + export_port_code1 % 90 AS DOUBLE) AS distance_km,
+  CAST(2 AS DOUBLE) AS time_h FROM trade WHERE transport_type = 'overland'""",
+    # master matrix with every stage filled by integer arithmetic
+    "master": """
+SELECT CAST(1 + (municipality_code + year) % 3 AS INT) AS Id_sample, {keys},
+  sum(soy_eq) AS soy_eq, sum(soybean) AS soybean, sum(bean_meal) AS bean_meal, sum(cake) AS cake, sum(oil) AS oil, sum(land_use) AS land_use,
+  sum(fob) AS fob, max(soy_yield) AS soy_yield, max(sh_bean) AS sh_bean, max(sh_meal) AS sh_meal, max(sh_cake) AS sh_cake, max(sh_oil) AS sh_oil,
+  max(double_cropping_share) AS sh_dcp, max(dom_kmeal_af) AS dom_kmeal_af, max(dom_oil_af) AS dom_oil_af,
+  max(for_kmeal_af) AS for_kmeal_af, max(for_oil_af) AS for_oil_af, 'LC-Impact' AS method, 'Climate change, TE' AS impact_category,
+  'PDF.year' AS unit_impact, 'Terrestrial ecosystems' AS damage,
+  {stages}
+FROM trade GROUP BY {keys}""",
 }
+VIEWS["master"] = VIEWS["master"].format(
+    keys=", ".join(MASTER_KEYS),
+    stages=",\n  ".join(
+        f"CAST((municipality_code * {i + 3} + year * {2 * i + 1} + export_port_code1) % {17 + i} AS DOUBLE) / 64 AS {stage}"
+        for i, stage in enumerate(ALL_STAGES)))
 
 
 def needed(names: list[str], text: str = "") -> list[str]:
