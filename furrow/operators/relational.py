@@ -70,12 +70,14 @@ def lengthen(df: DataFrame, ids: Sequence[str], columns: Sequence[str], key: str
 
 
 def join_key(name: str, parts: Sequence[str]) -> Column:
-    return F.concat_ws("-", *[as_col(p).cast("string") for p in parts]).alias(name)
+    """Composite text key; a missing part is spelled NA, so that the parts keep their places."""
+    return F.concat_ws("-", *[F.coalesce(as_col(p).cast("string"), F.lit("NA"))
+                              for p in parts]).alias(name)
 
 
 def split_key(df: DataFrame, key: str, parts: Sequence[str]) -> DataFrame:
     pieces = F.split(as_col(key), "-")
-    return df.withColumns({p: pieces.getItem(i) for i, p in enumerate(parts)}).drop(key)
+    return df.withColumns({p: F.get(pieces, F.lit(i)) for i, p in enumerate(parts)}).drop(key)
 
 
 def expand_samples(df: DataFrame, n: int, column: str = "Id_sample") -> DataFrame:
