@@ -147,7 +147,7 @@ yielded AS (SELECT state_code, municipality_code, year, coalesce(double_cropping
        THEN 'imputed based on municipality data' ELSE 'consulted' END AS soy_yield_quality FROM y2)"""
 
 TRADE = """
-trade AS (SELECT CO_ANO AS year, CO_PAIS AS import_country_code, CO_MUN AS municipality_code,
+trade_stats AS (SELECT CO_ANO AS year, CO_PAIS AS import_country_code, CO_MUN AS municipality_code,
   coalesce(sum(KG_LIQUIDO) FILTER (WHERE SH4 = 1201), 0) AS soybeans_a,
   coalesce(sum(KG_LIQUIDO) FILTER (WHERE SH4 = 1208), 0) AS meal_from_beans_a,
   coalesce(sum(KG_LIQUIDO) FILTER (WHERE SH4 = 1507), 0) AS oil_a,
@@ -165,7 +165,7 @@ used AS (SELECT year,
 FOREIGN_SOURCE = """
 traded AS (SELECT f.*, k.import_country_code, t.soybeans_a, t.meal_from_beans_a, t.oil_a, t.cake_a
   FROM {source} f LEFT JOIN countries k USING (import_country_name)
-  LEFT JOIN trade t ON t.year = f.year AND t.import_country_code = k.import_country_code
+  LEFT JOIN trade_stats t ON t.year = f.year AND t.import_country_code = k.import_country_code
     AND t.municipality_code IS NOT DISTINCT FROM f.municipality_code)"""
 
 
@@ -216,7 +216,7 @@ yearly AS (SELECT year,
   CASE WHEN count(*) = count(Oil_for_price * for_oil_c) THEN sum(Oil_for_price * for_oil_c) END
     / nullif(CASE WHEN count(*) = count(for_oil_c) THEN sum(for_oil_c) END, 0) AS Oil_for_price
   FROM wide GROUP BY year),
-factors AS (SELECT year,
+alloc AS (SELECT year,
   Cakemeal_dom_price * 0.81 / nullif(Cakemeal_dom_price * 0.81 + Oil_dom_price * 0.19, 0) AS dom_kmeal_af,
   Oil_dom_price * 0.19 / nullif(Cakemeal_dom_price * 0.81 + Oil_dom_price * 0.19, 0) AS dom_oil_af,
   Cakemeal_for_price * 0.81 / nullif(Cakemeal_for_price * 0.81 + Oil_for_price * 0.19, 0) AS for_kmeal_af,
@@ -297,7 +297,7 @@ merged AS (SELECT * FROM filled UNION ALL BY NAME
 harmonised AS (SELECT p.* REPLACE (
     CASE WHEN import_country_name = 'BRAZIL' THEN export_port_code WHEN import_country_name IS NOT NULL THEN export_port_code1 END AS export_port_code1),
     g.* EXCLUDE (year)
-  FROM products p LEFT JOIN factors g ON p.year = g.year)"""
+  FROM products p LEFT JOIN alloc g ON p.year = g.year)"""
 
 
 def checks() -> dict:
@@ -378,7 +378,7 @@ def checks() -> dict:
         f"WITH {YIELDS} SELECT {KEYS.replace('year', 'f.year').replace('municipality_code', 'f.municipality_code')}, "
         "double_cropping_share, double_cropping_quality FROM flow f LEFT JOIN yielded y ON f.state_code = y.state_code "
         "AND f.municipality_code = y.municipality_code AND f.year = y.year")
-    add("T17_trade_statistics", _q("exports", T.trade_statistics), f"WITH {TRADE} SELECT * FROM trade")
+    add("T17_trade_statistics", _q("exports", T.trade_statistics), f"WITH {TRADE} SELECT * FROM trade_stats")
     add("T18_trade_attach", lambda s, d: _pick(_traded(s, d), "import_country_code", *PRODUCTS),
         f"WITH {TRADED_FROM} SELECT {KEYS}, import_country_code, {', '.join(PRODUCTS)} FROM traded")
     add("T19_market_split_domestic",
@@ -412,7 +412,7 @@ def checks() -> dict:
     factors = ["dom_kmeal_af", "dom_oil_af", "for_kmeal_af", "for_oil_af"]
     add("T26_allocation_factors",
         lambda s, d: rounded(_pick(attach(load(s, d, "flow"), T.allocation_factors(T.yearly_prices(load(s, d, "prices"))), ["year"]), *factors), factors),
-        f"WITH {PRICES} SELECT {KEYS.replace('year', 'f.year')}, {round_sql(factors)} FROM flow f LEFT JOIN factors g ON f.year = g.year")
+        f"WITH {PRICES} SELECT {KEYS.replace('year', 'f.year')}, {round_sql(factors)} FROM flow f LEFT JOIN alloc g ON f.year = g.year")
     add("T27_domestic_port_keys",
         lambda s, d: _pick(T.standardise_domestic_ports(attach(load(s, d, "flow"), load(s, d, "ports"), ["export_port_code", "import_port_code"])),
                            "export_port_code1", "export_port_name_mo1", "export_port_acronym_mo1"),

@@ -80,13 +80,13 @@ totals AS (SELECT region_code, region_name, state_code, state_name, municipality
 many AS (""" + R.samples("totals", N) + """),
 placed AS (SELECT m.*, s.area_ha, s.CO2e_soc, s.CO2e_bmb, s.CH4e, s.N2Oe, s.NOxe FROM many m LEFT JOIN stock s
   ON m.Id_sample = s.Id_sample AND m.municipality_code = s.municipality_code AND m.year = s.year)"""
-CARBON_FILL = tier_fill_cte("placed", "filled", ["area_ha", *E.EMISSIONS], E.CARBON_TIERS, "data_quality_luc_emissions", [
+CARBON_FILL = tier_fill_cte("placed", "carbon_full", ["area_ha", *E.EMISSIONS], E.CARBON_TIERS, "data_quality_luc_emissions", [
     "estimated", "imputed based on average of the municipality", "imputed based on average of the state in each year",
     "imputed based on average of the state", "imputed based on average of the region each year"])
 LONG = """
 long AS (SELECT *, CASE emission WHEN 'CO2e_soc' THEN 'CO2' WHEN 'CO2e_bmb' THEN 'CO2' WHEN 'CH4e' THEN 'CH4' WHEN 'N2Oe' THEN 'N2O' ELSE 'NOx' END AS substance_ac,
   CASE emission WHEN 'CO2e_soc' THEN 'iSOC' ELSE 'ibmb' END AS subc1
-  FROM filled UNPIVOT INCLUDE NULLS (value_emission FOR emission IN (CO2e_soc, CO2e_bmb, CH4e, N2Oe, NOxe)))"""
+  FROM carbon_full UNPIVOT INCLUDE NULLS (value_emission FOR emission IN (CO2e_soc, CO2e_bmb, CH4e, N2Oe, NOxe)))"""
 
 
 def _weighed(s, d):
@@ -118,12 +118,12 @@ halves AS (SELECT region_name, state_code, municipality_code, year, double_cropp
   FROM classed GROUP BY ALL),
 land AS (SELECT * EXCLUDE (o, t), CASE WHEN o IS NULL AND t IS NOT NULL THEN 0 ELSE o END AS occ,
   CASE WHEN t IS NULL AND o IS NOT NULL THEN 0 ELSE t END AS trans FROM halves)"""
-LAND_FILL = LAND + "," + tier_fill_cte("land", "landed", ["occ", "trans"], B.LAND_TIERS, "tdata_lcrop", [
+LAND_FILL = LAND + "," + tier_fill_cte("land", "land_full", ["occ", "trans"], B.LAND_TIERS, "tdata_lcrop", [
     "estimated", "imputed base on average dato of the municipality", "imputed base on average of the state in each year",
     "imputed base on average of the state", "imputed base on average of the region in each year"])
 INTENSE = LAND_FILL + """,
 intense AS (SELECT *, CAST(CASE WHEN soy_yield < q1 THEN 4 WHEN soy_yield < q3 THEN 2 WHEN soy_yield IS NOT NULL THEN 3 END AS INT) AS habitat_id
-  FROM landed, (SELECT quantile_cont(soy_yield, 0.25) AS q1, quantile_cont(soy_yield, 0.75) AS q3 FROM landed))"""
+  FROM land_full, (SELECT quantile_cont(soy_yield, 0.25) AS q1, quantile_cont(soy_yield, 0.75) AS q3 FROM land_full))"""
 ECOSHARE = """
 ecoshare AS (SELECT CAST(CD_MUN AS BIGINT) AS municipality_code, REALM AS realm, ECO_ID AS eco_id, eco_code, inter_km2,
   inter_km2 / sum(inter_km2) OVER (PARTITION BY CD_MUN) AS pt_int_amun FROM (SELECT DISTINCT * FROM overlap))"""
@@ -402,7 +402,7 @@ def checks() -> dict:
         f"WITH {EMITTED} SELECT Id_sample, municipality_code, year, area_ha, {round_sql(E.EMISSIONS, 5)} FROM per_ha")
     add("E07_origin_emissions", _placed, f"WITH {ORIGINS} SELECT * FROM placed")
     add("E08_emission_tier_fill", lambda s, d: rounded(E.fill_emissions(_placed(s, d)), ["area_ha", *E.EMISSIONS]),
-        f"WITH {ORIGINS},{CARBON_FILL} SELECT * EXCLUDE (area_ha, {', '.join(E.EMISSIONS)}), {round_sql(['area_ha', *E.EMISSIONS])} FROM filled")
+        f"WITH {ORIGINS},{CARBON_FILL} SELECT * EXCLUDE (area_ha, {', '.join(E.EMISSIONS)}), {round_sql(['area_ha', *E.EMISSIONS])} FROM carbon_full")
     add("E08_missing_emissions", lambda s, d: E.missing_emissions(_placed(s, d)).select("municipality_code", "year", "Id_sample", "soy_eq"),
         f"WITH {ORIGINS} SELECT municipality_code, year, Id_sample, soy_eq FROM placed WHERE area_ha IS NULL")
     add("E09_emissions_by_substance",
@@ -414,7 +414,7 @@ def checks() -> dict:
     add("B02_land_by_class", _classed, f"WITH {LAND} SELECT * FROM classed")
     add("B03_occupied_transformed", lambda s, d: B.split_land(_classed(s, d)), f"WITH {LAND} SELECT * FROM land")
     add("B04_land_tier_fill", lambda s, d: rounded(_land(s, d), ["occ", "trans"]),
-        f"WITH {LAND_FILL} SELECT {UNIT}, tdata_lcrop, {round_sql(['occ', 'trans'])} FROM landed")
+        f"WITH {LAND_FILL} SELECT {UNIT}, tdata_lcrop, {round_sql(['occ', 'trans'])} FROM land_full")
     add("B05_intensity_class", lambda s, d: B.classify_intensity(_land(s, d)).select("municipality_code", "year", "soy_yield", "habitat_id"),
         f"WITH {INTENSE} SELECT municipality_code, year, soy_yield, habitat_id FROM intense")
     marks = [f"cf_{k}_glo_{t}" for k in ["occ", "tra"] for t in ["md", "min", "max"]]
@@ -496,11 +496,11 @@ def checks() -> dict:
     carbon = ["i_luclu_above_biomass", "i_luclu_soc"]
     add("I06_carbon_impact",
         lambda s, d: rounded(I.attach_carbon(_master(s, d), I.carbon_stock_impacts(E.emissions_by_substance(E.fill_emissions(_placed(s, d))), load(s, d, "cf")))
-                             .select(*mkeys, *carbon), carbon, 5),
+                             .select(*mkeys, *carbon), carbon, 9),
         f"""WITH {MATRIX},{ORIGINS},{CARBON_FILL},{LONG},{CF}, k AS (SELECT Id_sample, municipality_code, year, damage, impact_category, unit_impact,
   sum(value_emission * value) FILTER (WHERE subc1 = 'ibmb') AS a, sum(value_emission * value) FILTER (WHERE subc1 = 'iSOC') AS b
   FROM long JOIN cfs USING (substance_ac) GROUP BY ALL)
-SELECT {', '.join('m.' + k for k in mkeys)}, round(coalesce(a, 0), 5) AS i_luclu_above_biomass, round(coalesce(b, 0), 5) AS i_luclu_soc
+SELECT {', '.join('m.' + k for k in mkeys)}, round(coalesce(a, 0), 9) AS i_luclu_above_biomass, round(coalesce(b, 0), 9) AS i_luclu_soc
 FROM matrix m LEFT JOIN k ON m.Id_sample = k.Id_sample AND m.municipality_code = k.municipality_code AND m.year = k.year AND m.damage = k.damage
   AND m.impact_category = k.impact_category AND m.unit_impact = k.unit_impact""")
     for tag in ["state", "region"]:

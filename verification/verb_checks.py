@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -10,12 +9,10 @@ from pyspark.sql import functions as F
 from furrow.functions.nulls import row_total, strict_sum
 from furrow.functions.quantiles import group_quantiles
 from furrow.operators import relational as V
-from furrow.plans import footprints as P
 from furrow.sources import tables as IO
 from furrow.sources.schemas import SCHEMAS
 from furrow.sources.stages import stage_root
 from verification.flow_checks import _q, rounded
-from verification.grid_checks import HEIGHT, WIDTH
 from verification.views import load, oracle
 
 
@@ -50,15 +47,6 @@ def _flow(fn):
     return _q("flow", fn)
 
 
-def _full_run(spark, sf):
-    tables = {n: load(spark, sf, n) for n in SCHEMAS}
-    products = P.run(tables, load(spark, sf, "unit"), WIDTH, HEIGHT, 2)
-    return reduce(lambda a, b: a.unionByName(b), [
-        t.groupBy("year", "impact_category", "import_country_name").agg(
-            F.count(F.lit(1)).alias("n"), F.round(F.sum("impact"), 3).alias("impact"))
-        .withColumn("product", F.lit(name)) for name, t in products.items()])
-
-
 def checks() -> dict:
     out = {}
 
@@ -153,5 +141,4 @@ def checks() -> dict:
         "SELECT Id_sample, municipality_code, year, " + " + ".join(many) + " AS total FROM stock")
     add("V32_loop_as_key", _flow(lambda f: f.groupBy("year", "municipality_code").agg(F.max("soy_eq").alias("top"))),
         "SELECT year, municipality_code, max(soy_eq) AS top FROM flow GROUP BY ALL")
-    add("I21_full_run", _full_run)
     return out

@@ -85,7 +85,7 @@ SELECT CAST(municipality_code AS STRING) AS CD_MUN, municipality_name AS NM_MUN,
   CAST(-60 + col_min * 0.25 AS DOUBLE) AS xmin, CAST(80 - row_max * 0.0005 - 0.0005 AS DOUBLE) AS ymin,
   CAST(-60 + col_max * 0.25 + 0.25 AS DOUBLE) AS xmax, CAST(80 - row_min * 0.0005 AS DOUBLE) AS ymax FROM unit""",
     "ports": """
-SELECT DISTINCT export_port_code, import_port_code, export_port_code + 1000 AS export_port_code1,
+SELECT DISTINCT export_port_code, import_port_code, CAST(100 + export_port_code % 3 AS BIGINT) AS export_port_code1,
   'X' || CAST(export_port_code AS STRING) AS export_port_name_mo1,
   'XA' || CAST(export_port_code AS STRING) AS export_port_acronym_mo1,
   'M' || CAST(import_port_code AS STRING) AS import_port_name,
@@ -293,7 +293,9 @@ SELECT DISTINCT municipality_code AS from_id, export_port_code1 AS to_id, CAST((
     "sea": """
 SELECT DISTINCT import_port_code AS port_imp, import_port_acronym, export_port_code1, import_country_name,
   CAST(5000 + (import_port_code * export_port_code1) % 4000 AS DOUBLE) AS distance_km FROM trade
-WHERE transport_type = 'sea' AND import_country_name <> 'BRAZIL'""",
+WHERE transport_type = 'sea' AND import_country_name <> 'BRAZIL'
+UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'A', CAST(100 + n_nationkey % 3 AS BIGINT), n_name, CAST(3000 + n_nationkey * 10 AS DOUBLE) FROM nation
+WHERE n_nationkey <> 7""",
     "overland": """
 SELECT DISTINCT export_port_code1 AS from_id, import_country_name AS to_id, CAST(700 + export_port_code1 % 90 AS DOUBLE) AS distance_km,
   CAST(2 AS DOUBLE) AS time_h FROM trade WHERE transport_type = 'overland'""",
