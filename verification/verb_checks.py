@@ -40,7 +40,7 @@ def _parquet(view, partitions=()):
 def _pixels(spark, sf):
     path = _path(spark, "pixels")
     IO.write_pixels(load(spark, sf, "pixel"), path)
-    return IO.read_layer(spark, path, "cover", [2019]).select("layer", "year", "cell_row", "cell_col", "y", "value")
+    return IO.read_layer(spark, path, "cover", [1998]).select("layer", "year", "cell_row", "cell_col", "y", "value")
 
 
 def _flow(fn):
@@ -57,7 +57,7 @@ def checks() -> dict:
     add("V02_delimited_scan", _csv("exports", ";"), "SELECT * FROM exports")
     add("V03_parquet_scan", _parquet("land_cf"), "SELECT * FROM land_cf")
     add("V04_attribute_scan", _parquet("overlap"), "SELECT * FROM overlap")
-    add("V05_layer_scan", _pixels, "SELECT * FROM pixel WHERE layer = 'cover' AND year = 2019")
+    add("V05_layer_scan", _pixels, "SELECT * FROM pixel WHERE layer = 'cover' AND year = 1998")
 
     def lookup(f):
         table = f.sparkSession.createDataFrame([(27, "domestic"), (99, "unknown")], "export_port_code bigint, port_kind string")
@@ -99,11 +99,11 @@ def checks() -> dict:
 
     def sides(s, d):
         p = load(s, d, "pixel").where("layer = 'soc'")
-        return [p.where(f"year = {y}").select("cell_row", "cell_col", F.col("value").alias(f"v{y}")) for y in (2016, 2019)]
+        return [p.where(f"year = {y}").select("cell_row", "cell_col", F.col("value").alias(f"v{y}")) for y in (1995, 1998)]
 
     add("V20_full_join", lambda s, d: V.align(*sides(s, d), ["cell_row", "cell_col"]),
-        "SELECT cell_row, cell_col, a.value AS v2016, b.value AS v2019 FROM (SELECT * FROM pixel WHERE layer = 'soc' AND year = 2016) a "
-        "FULL JOIN (SELECT * FROM pixel WHERE layer = 'soc' AND year = 2019) b USING (cell_row, cell_col)")
+        "SELECT cell_row, cell_col, a.value AS v1995, b.value AS v1998 FROM (SELECT * FROM pixel WHERE layer = 'soc' AND year = 1995) a "
+        "FULL JOIN (SELECT * FROM pixel WHERE layer = 'soc' AND year = 1998) b USING (cell_row, cell_col)")
     add("V21_hash_aggregate", _flow(lambda f: f.groupBy("year", "biome").agg(strict_sum("land_use").alias("strict"), F.sum("land_use").alias("loose"),
                                                                              F.count(F.lit(1)).alias("n"))),
         "SELECT year, biome, CASE WHEN count(*) = count(land_use) THEN sum(land_use) END AS strict, sum(land_use) AS loose, count(*) AS n FROM flow GROUP BY ALL")

@@ -132,17 +132,17 @@ FROM orders GROUP BY year(o_orderdate), month(o_orderdate) % 3, o_orderkey % 8""
 SELECT DISTINCT l_orderkey AS cell_row, l_partkey % 1000 AS cell_col FROM lineitem""",
     "pixel": """
 SELECT layer, CAST(year AS INT) AS year, cell_row, cell_col, CAST(80 - (cell_row % 300000) * 0.0005 - 0.00025 AS DOUBLE) AS y, value FROM (
-  SELECT 'cover' AS layer, 2016 AS year, cell_row, cell_col,
+  SELECT 'cover' AS layer, 1995 AS year, cell_row, cell_col,
     CAST(CASE (cell_row + cell_col * 3) % 12 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 12 WHEN 3 THEN 20 WHEN 4 THEN 9
          WHEN 5 THEN 0 WHEN 6 THEN 62 WHEN 7 THEN NULL ELSE 39 END AS DOUBLE) AS value FROM cell WHERE (cell_row + cell_col) % 13 <> 0
-  UNION ALL SELECT 'cover', 2019, cell_row, cell_col,
+  UNION ALL SELECT 'cover', 1998, cell_row, cell_col,
     CAST(CASE WHEN (cell_row * 3 + cell_col) % 4 = 0 THEN 3 ELSE 39 END AS DOUBLE) FROM cell WHERE (cell_row + cell_col) % 17 <> 0
-  UNION ALL SELECT 'cover', 2022, cell_row, cell_col, CAST(CASE WHEN cell_col % 5 = 0 THEN 41 ELSE 39 END AS DOUBLE) FROM cell
-  UNION ALL SELECT 'soc', 2016, cell_row, cell_col, CAST(38 + cell_col % 17 AS DOUBLE) FROM cell WHERE cell_col % 19 <> 0
-  UNION ALL SELECT 'soc', 2019, cell_row, cell_col, CAST(40 + cell_row % 13 AS DOUBLE) FROM cell WHERE cell_row % 23 <> 0
-  UNION ALL SELECT 'soc', 2022, cell_row, cell_col, CAST(41 + (cell_row + cell_col) % 11 AS DOUBLE) FROM cell
-  UNION ALL SELECT 'burn', 2016, cell_row, cell_col, CAST(CASE WHEN (cell_row + 2 * cell_col) % 5 = 0 THEN 1 END AS DOUBLE) FROM cell
-  UNION ALL SELECT 'burn', 2019, cell_row, cell_col, CAST(1 AS DOUBLE) FROM cell WHERE (cell_row + cell_col) % 6 = 0
+  UNION ALL SELECT 'cover', 2001, cell_row, cell_col, CAST(CASE WHEN cell_col % 5 = 0 THEN 41 ELSE 39 END AS DOUBLE) FROM cell
+  UNION ALL SELECT 'soc', 1995, cell_row, cell_col, CAST(38 + cell_col % 17 AS DOUBLE) FROM cell WHERE cell_col % 19 <> 0
+  UNION ALL SELECT 'soc', 1998, cell_row, cell_col, CAST(40 + cell_row % 13 AS DOUBLE) FROM cell WHERE cell_row % 23 <> 0
+  UNION ALL SELECT 'soc', 2001, cell_row, cell_col, CAST(41 + (cell_row + cell_col) % 11 AS DOUBLE) FROM cell
+  UNION ALL SELECT 'burn', 1995, cell_row, cell_col, CAST(CASE WHEN (cell_row + 2 * cell_col) % 5 = 0 THEN 1 END AS DOUBLE) FROM cell
+  UNION ALL SELECT 'burn', 1998, cell_row, cell_col, CAST(1 AS DOUBLE) FROM cell WHERE (cell_row + cell_col) % 6 = 0
   UNION ALL SELECT 'zone', 0, cell_row, cell_col,
     CAST(CASE cell_col % 9 WHEN 0 THEN 100 WHEN 1 THEN 105 WHEN 2 THEN 106 WHEN 3 THEN 201 WHEN 4 THEN 202 WHEN 5 THEN 403
          WHEN 6 THEN 300 WHEN 7 THEN NULL ELSE 100 END AS DOUBLE) FROM cell) p""",
@@ -185,8 +185,8 @@ SELECT CASE WHEN l_linenumber <= 5 THEN 'Farming' ELSE 'Processing' END AS stage
             WHEN 3 THEN 'Natural_Gas_High_Pressure' WHEN 4 THEN 'Hardwood_Chips_From_Forest' ELSE 'Electricity' END END AS key_sim,
   CASE WHEN state_code % 3 = 0 AND l_linenumber <= 5 THEN 'Study 0' ELSE 'Study ' || CAST(l_partkey % 4 AS STRING) END AS lca,
   l_quantity AS recommended_value,
-  CASE WHEN act IN ('fertiliser', 'machinery') AND l_partkey % 3 = 0 THEN l_quantity / 2 WHEN act = 'crushing' AND l_partkey % 6 = 2 THEN l_quantity / 4 END AS lower_limit,
-  CASE WHEN act IN ('fertiliser', 'machinery') AND l_partkey % 3 = 0 THEN l_quantity * 2 WHEN act = 'crushing' AND l_partkey % 6 = 2 THEN l_quantity * 2 END AS upper_limit,
+  CASE WHEN act = 'machinery' OR act = 'fertiliser' AND l_partkey % 3 = 0 THEN l_quantity / 2 WHEN act = 'crushing' AND l_partkey % 6 = 2 THEN l_quantity / 4 END AS lower_limit,
+  CASE WHEN act = 'machinery' OR act = 'fertiliser' AND l_partkey % 3 = 0 THEN l_quantity * 2 WHEN act = 'crushing' AND l_partkey % 6 = 2 THEN l_quantity * 2 END AS upper_limit,
   CASE WHEN act IN ('fertiliser', 'soil_correctors') AND l_partkey % 3 = 1 THEN l_quantity / 8 WHEN act = 'crushing' AND l_partkey % 6 = 0 THEN l_quantity / 8 END AS sd
 FROM (SELECT li.*, u.state_code, u.region_name,
         CASE l_linenumber WHEN 1 THEN 'fertiliser' WHEN 2 THEN 'pesticide' WHEN 3 THEN 'soil_correctors' WHEN 4 THEN 'sowing'
