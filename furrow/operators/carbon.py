@@ -10,7 +10,7 @@ from furrow.functions.draws import high_from_sd, low_from_sd
 from furrow.functions.nulls import as_col, ratio, strict_avg, strict_sum, zero_fill
 from furrow.operators.grid import COVER_KEYS
 from furrow.operators.relational import (attach, expand_samples, fill_by_tier_means, keep_matches,
-                                         lengthen, rows_with_nulls, share_of_total)
+                                         lengthen, rows_with_nulls, share_of_total, spread)
 from furrow.operators.sampling import triangular_draws
 
 GASES = ["CO2", "CO", "CH4", "N2O", "NOx"]
@@ -67,13 +67,15 @@ CARRIED = ["municipality_code", "year", "map_biomas_class_code", "map_biomas_cla
 def draw_stocks(rows: DataFrame, n: int) -> DataFrame:
     """Sampled soil-carbon change and carbon parameters per row; invalid draws count as zero.
 
-    The rows are joined before they multiply and the draws are functions of (key, sample), so no
-    table of samples is ever shuffled.
+    The rows are joined and placed by unit and year before they multiply, and the draws are
+    functions of (key, sample): neither samples nor the groupings after them shuffle anything. A
+    unit-year has at most one row per cover class, burn state and zone.
     """
     variables = {"soc_change": ("csoc_min", "csoc_me", "csoc_max")} | {
         v: (f"{v}_low", f"{v}_mode", f"{v}_high") for v in DRAWS[1:]}
     keys = {v: PARAMETER_KEY for v in DRAWS[1:]} | {"soc_change": COVER_KEYS}
-    drawn = triangular_draws(rows, variables, keys, n, keep=CARRIED)
+    placed = spread(rows, ["municipality_code", "year"], n)
+    drawn = triangular_draws(placed, variables, keys, n, keep=CARRIED)
     per_mille = [v for v in DRAWS if v.startswith("gas_") or v == "combustion"]
     scaled = drawn.withColumns({v: as_col(v) / 1000.0 for v in per_mille})
     return zero_fill(scaled, [*DRAWS, "area_ha", "p_area_bm"])

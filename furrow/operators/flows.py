@@ -17,6 +17,8 @@ ORIGIN_TIERS = [["exporter_name", "importer_name"], ["import_country_name"], ["s
                 ["economy_type"]]
 EXPORT_PORT_TIERS = [["exporter_name", "importer_name"], ["municipality_code"],
                      ["import_country_name"]]
+IMPORT_PORT_TIERS = [["exporter_name", "importer_name"], ["export_port_code"]]
+IMPORT_PORT_CELLS = [["import_country_name"], []]
 ORIGIN_ATTRIBUTES = ["biome", "region_code", "region_name", "state_code", "state_name",
                      "municipality_name"]
 EXPORT_PORT_ATTRIBUTES = ["export_port_name_mo", "port_municipality_code"]
@@ -29,19 +31,37 @@ TRADE_TIERS = [["municipality_code", "import_country_name"], ["import_country_na
 
 # --- dominant trade links --------------------------------------------------------------------
 
-def dominant_link(flows: DataFrame, node: str, link: Sequence[str], unknown: Sequence[int],
-                  excluded: Sequence[int] | None = None, measure: str = "soy_eq") -> DataFrame:
-    """Per year and link: the node code that carries the largest volume.
+def tier_volumes(flows: DataFrame, cells: Sequence[Sequence[str]], tiers: Sequence[Sequence[str]],
+                 measure: str) -> DataFrame:
+    """Volume per year, tier key and cell for all tiers in one pass over the flows.
+
+    Grouping sets give each tier its own key; keys of the other tiers are null in its rows and
+    `tier` tells the sets apart.
+    """
+    sets = [list(dict.fromkeys(["year", *cell, *tier])) for cell, tier in zip(cells, tiers)]
+    keys = list(dict.fromkeys(k for group in sets for k in group))
+    ids = [sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in group)
+           for group in sets]
+    tier = match(F.col("__set"), {gid: i for i, gid in enumerate(ids, 1)})
+    sums = flows.groupingSets(sets, *keys).agg(strict_sum(measure).alias("volume"),
+                                               F.grouping_id().alias("__set"))
+    return sums.withColumn("tier", tier).drop("__set")
+
+
+def dominant_links(flows: DataFrame, node: str, tiers: Sequence[Sequence[str]],
+                   unknown: Sequence[int], excluded: Sequence[int] | None = None,
+                   measure: str = "soy_eq") -> DataFrame:
+    """Per tier, year and link: the node code that carries the largest volume.
 
     Excluded codes compete with volume zero, ties go to the largest code and a missing volume
     leaves the link without a candidate. Only links that have an unknown node are returned, as no
     other row asks for a candidate. Two combining aggregations, no window: a link that holds a
     third of all flows arrives at its reducer as a few partial maxima.
     """
-    volumes = flows.groupBy("year", *link, node).agg(strict_sum(measure).alias("volume"))
+    links = list(dict.fromkeys(k for tier in tiers for k in tier))
     competing = F.when(as_col(node).isin(list(excluded or unknown)), F.lit(0.0)) \
         .otherwise(F.col("volume"))
-    best = volumes.groupBy("year", *link).agg(
+    best = tier_volumes(flows, [[node]] * len(tiers), tiers, measure).groupBy("tier", "year", *links).agg(
         F.when(F.count(F.lit(1)) == F.count(competing),
                F.max(F.struct(competing.alias("v"), as_col(node).alias("code")))["code"])
         .alias("candidate"),
@@ -49,24 +69,30 @@ def dominant_link(flows: DataFrame, node: str, link: Sequence[str], unknown: Seq
     return best.where("__asked").drop("__asked")
 
 
-def dominant_link_by_pool(flows: DataFrame, link: Sequence[str], cell: Sequence[str],
-                          node: str = "import_port_code", pool: str = "subregion_mo",
-                          unknown: Sequence[int] = K.UNKNOWN_IMPORT_PORT,
-                          measure: str = "soy_eq") -> DataFrame:
-    """Dominant link in which the pooled region competes only on its own volume.
+def dominant_link(flows: DataFrame, node: str, link: Sequence[str], unknown: Sequence[int],
+                  excluded: Sequence[int] | None = None, measure: str = "soy_eq") -> DataFrame:
+    """`dominant_links` of a single tier."""
+    return dominant_links(flows, node, [link], unknown, excluded, measure).drop("tier")
+
+
+def dominant_links_by_pool(flows: DataFrame, tiers: Sequence[Sequence[str]],
+                           cells: Sequence[Sequence[str]], node: str = "import_port_code",
+                           pool: str = "subregion_mo",
+                           unknown: Sequence[int] = K.UNKNOWN_IMPORT_PORT,
+                           measure: str = "soy_eq") -> DataFrame:
+    """Dominant links in which the pooled region competes only on its own volume.
 
     Cells of the pooled region qualify when they reach the group's largest pooled volume, other
     cells when they reach the largest volume of all; the largest qualifying code is the candidate.
     """
-    cells = flows.groupBy("year", *dict.fromkeys([node, pool, *cell, *link])).agg(
-        strict_sum(measure).alias("volume"))
+    links = list(dict.fromkeys(k for tier in tiers for k in tier))
+    rows = tier_volumes(flows, [[node, pool, *extra] for extra in cells], tiers, measure)
     pooled = as_col(pool) == K.POOLED_REGION
-    cells = cells.withColumn("v_all", F.when(as_col(node).isin(list(unknown)), F.lit(0.0))
-                             .otherwise(F.col("volume")))
-    cells = cells.withColumn("v_pool", F.when(pooled, F.col("v_all"))
-                             .when(~pooled, F.lit(0.0)))
+    rows = rows.withColumn("v_all", F.when(as_col(node).isin(list(unknown)), F.lit(0.0))
+                           .otherwise(F.col("volume")))
+    rows = rows.withColumn("v_pool", F.when(pooled, F.col("v_all")).when(~pooled, F.lit(0.0)))
     pair = F.struct(F.col("v_all").alias("v"), as_col(node).alias("code"))
-    best = cells.groupBy("year", *link).agg(
+    best = rows.groupBy("tier", "year", *links).agg(
         F.count(F.lit(1)).alias("n"), F.count("v_all").alias("n_all"),
         F.count("v_pool").alias("n_pool"),
         F.max("v_all").alias("top_all"), F.max("v_pool").alias("top_pool"),
@@ -76,15 +102,27 @@ def dominant_link_by_pool(flows: DataFrame, link: Sequence[str], cell: Sequence[
         F.when(F.col("other.v") == F.col("top_all"), F.col("other.code")).otherwise(F.lit(0)),
         F.when(F.col("own.v") == F.col("top_pool"), F.col("own.code")).otherwise(F.lit(0)))
     complete = (F.col("n") == F.col("n_all")) & (F.col("n") == F.col("n_pool"))
-    return best.where("asked").select("year", *link, F.when(complete, code).alias("candidate"))
+    return best.where("asked").select("tier", "year", *links,
+                                      F.when(complete, code).alias("candidate"))
 
 
-def attach_candidates(flows: DataFrame, candidates: Sequence[tuple[DataFrame, Sequence[str]]]
+def dominant_link_by_pool(flows: DataFrame, link: Sequence[str], cell: Sequence[str]) -> DataFrame:
+    """`dominant_links_by_pool` of a single tier."""
+    return dominant_links_by_pool(flows, [link], [cell]).drop("tier")
+
+
+def attach_candidates(flows: DataFrame, candidates: DataFrame, tiers: Sequence[Sequence[str]]
                       ) -> DataFrame:
-    """Candidate columns candidate1, candidate2, … next to every flow, one staged lookup each."""
-    for i, (table, link) in enumerate(candidates, 1):
-        named = table.withColumnRenamed("candidate", f"candidate{i}")
-        flows = attach(flows, stage(named, "candidates"), ["year", *link])
+    """Candidate columns candidate1, candidate2, … next to every flow.
+
+    The candidates of all tiers are worked out once; each tier then gets a stage table of its own,
+    so that the size of that tier alone decides whether it is broadcast.
+    """
+    table = stage(candidates, "candidates")
+    for i, link in enumerate(tiers, 1):
+        own = table.where(F.col("tier") == i).select(
+            "year", *link, F.col("candidate").alias(f"candidate{i}"))
+        flows = attach(flows, stage(own, "tier_candidates"), ["year", *link])
     return flows
 
 
@@ -97,11 +135,11 @@ def tier_choice(node: str, n: int, known, results: Sequence[Column]) -> Column:
     return F.when(known(as_col(node)).isNull(), F.lit(None)).otherwise(chain.otherwise(results[n]))
 
 
-def fill_node(flows: DataFrame, node: str, candidates: Sequence[tuple[DataFrame, Sequence[str]]],
+def fill_node(flows: DataFrame, node: str, candidates: DataFrame, tiers: Sequence[Sequence[str]],
               known, label: str, labels: Sequence[str]) -> DataFrame:
     """Replace unknown codes by the first known tier and record which tier that was."""
-    n = len(candidates)
-    joined = attach_candidates(flows, candidates)
+    n = len(tiers)
+    joined = attach_candidates(flows, candidates, tiers)
     chosen = tier_choice(node, n, known,
                          [as_col(node), *[F.col(f"candidate{i}") for i in range(1, n + 1)]])
     named = tier_choice(node, n, known, [F.lit(text) for text in labels])
@@ -109,37 +147,24 @@ def fill_node(flows: DataFrame, node: str, candidates: Sequence[tuple[DataFrame,
         *[f"candidate{i}" for i in range(1, n + 1)])
 
 
-def origin_candidates(flows: DataFrame) -> list[tuple[DataFrame, list[str]]]:
-    return [(dominant_link(flows, "municipality_code", link, K.UNKNOWN_ORIGIN), link)
-            for link in ORIGIN_TIERS]
-
-
 def fill_origins(flows: DataFrame) -> DataFrame:
-    return fill_node(flows, "municipality_code", origin_candidates(flows),
+    candidates = dominant_links(flows, "municipality_code", ORIGIN_TIERS, K.UNKNOWN_ORIGIN)
+    return fill_node(flows, "municipality_code", candidates, ORIGIN_TIERS,
                      lambda c: ~c.isin(K.UNKNOWN_ORIGIN), "municipality_data_quality",
                      K.ORIGIN_LABELS)
 
 
-def export_port_candidates(flows: DataFrame) -> list[tuple[DataFrame, list[str]]]:
-    excluded = [*K.UNKNOWN_EXPORT_PORT, K.DOMESTIC_PORT]
-    return [(dominant_link(flows, "export_port_code", link, K.UNKNOWN_EXPORT_PORT, excluded), link)
-            for link in EXPORT_PORT_TIERS]
-
-
 def fill_export_ports(flows: DataFrame) -> DataFrame:
-    return fill_node(flows, "export_port_code", export_port_candidates(flows),
+    candidates = dominant_links(flows, "export_port_code", EXPORT_PORT_TIERS,
+                                K.UNKNOWN_EXPORT_PORT, [*K.UNKNOWN_EXPORT_PORT, K.DOMESTIC_PORT])
+    return fill_node(flows, "export_port_code", candidates, EXPORT_PORT_TIERS,
                      lambda c: ~c.isin(K.UNKNOWN_EXPORT_PORT), "export_port_data_quality",
                      K.EXPORT_PORT_LABELS)
 
 
-def import_port_candidates(flows: DataFrame) -> list[tuple[DataFrame, list[str]]]:
-    trader, port = ["exporter_name", "importer_name"], ["export_port_code"]
-    return [(dominant_link_by_pool(flows, trader, ["import_country_name"]), trader),
-            (dominant_link_by_pool(flows, port, []), port)]
-
-
 def fill_import_ports(flows: DataFrame) -> DataFrame:
-    return fill_node(flows, "import_port_code", import_port_candidates(flows),
+    candidates = dominant_links_by_pool(flows, IMPORT_PORT_TIERS, IMPORT_PORT_CELLS)
+    return fill_node(flows, "import_port_code", candidates, IMPORT_PORT_TIERS,
                      lambda c: c < min(K.UNKNOWN_IMPORT_PORT), "import_country_data_quality",
                      K.IMPORT_PORT_LABELS)
 

@@ -11,7 +11,8 @@ from furrow import constants as K
 from furrow.functions.nulls import as_col, match, ratio, row_total, strict_avg, strict_sum
 from furrow.operators.inventory import Scope
 from furrow.operators.logistics import CATEGORY, LINK_KEYS
-from furrow.operators.relational import attach, expand_samples, keep_matches, stack, widen
+from furrow.operators.relational import (attach, keep_matches, nest_samples, stack,
+                                         unnest_samples, widen)
 from furrow.sources.stages import stage
 
 # --- characterisation ------------------------------------------------------------------------
@@ -68,34 +69,49 @@ def trade_links(flows: DataFrame, units: list[int] | None = None, years: list[in
         *[strict_avg(c).alias(out) for out, c in MASTER_MEANS.items()])
 
 
-def master_matrix(links: DataFrame, catalogue: DataFrame, n: int) -> DataFrame:
-    """Every trade link once per impact category and sample.
+def category_matrix(links: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Every trade link once per impact category.
 
     Categories are numbered and each link counts through the numbers, so the category table joins
     on its number: an equality join that is broadcast or shuffled by the table's size. The
-    catalogue is a vocabulary, so numbering it in one window is bounded. Samples come last.
+    catalogue is a vocabulary, so numbering it in one window is bounded.
     """
     numbered = stage(catalogue.withColumn("slot", F.row_number().over(
         Window.orderBy(*catalogue.columns))), "catalogue")
     size = numbered.agg(F.coalesce(F.max("slot"), F.lit(0)).alias("n")).scalar()
     slots = F.when(size > 0, F.sequence(F.lit(1), size))
     rows = links.withColumn("slot", F.explode(slots))
-    return expand_samples(keep_matches(rows, numbered, ["slot"]).drop("slot"), n)
+    return keep_matches(rows, numbered, ["slot"]).drop("slot")
 
 
-def attach_land_stress(master: DataFrame, stress: DataFrame) -> DataFrame:
-    """Occupation and transformation factors, on the land-stress category only."""
-    keys = ["Id_sample", "region_name", "state_code", "municipality_code", "year"]
-    table = stress.select(*keys, F.lit(K.LAND_DAMAGE).alias("damage"),
+def master_matrix(matrix: DataFrame, n: int) -> DataFrame:
+    """The category matrix once per sample. Whatever has no sample, and the land stages as nested
+    arrays, is attached before; so the multiplied rows start where they are needed."""
+    nested = {name: stages for name, stages in NESTED.items() if name in matrix.columns}
+    return unnest_samples(matrix, nested, n)
+
+
+NESTED = {"stress_samples": K.LAND_STAGES[:2], "carbon_samples": K.LAND_STAGES[2:]}
+
+
+def attach_land_stress(matrix: DataFrame, stress: DataFrame, n: int) -> DataFrame:
+    """Occupation and transformation factors of all samples, on the land-stress category only."""
+    keys = ["region_name", "state_code", "municipality_code", "year"]
+    table = stress.select("Id_sample", *keys, F.lit(K.LAND_DAMAGE).alias("damage"),
                           F.lit(K.LAND_CATEGORY).alias("impact_category"),
                           F.col("cf_occ_glo").alias("i_land_occupation"),
                           F.col("cf_tra_glo_dc").alias("i_land_transformation"))
-    return attach(master, table, [*keys, "damage", "impact_category"])
+    keys += ["damage", "impact_category"]
+    nested = nest_samples(table, keys, NESTED["stress_samples"], n, "stress_samples")
+    return attach(matrix, stage(nested, "stress_samples"), keys)
+
+
+CARBON_KEYS = ["municipality_code", "year", "damage", "impact_category", "unit_impact"]
 
 
 def carbon_stock_impacts(emissions: DataFrame, factors: DataFrame) -> DataFrame:
     """Impact of soil and above-ground carbon changes per sample, unit, year and category."""
-    keys = ["Id_sample", "municipality_code", "year", "damage", "impact_category", "unit_impact"]
+    keys = ["Id_sample", *CARBON_KEYS]
     rows = keep_matches(emissions, in_scope(factors), ["substance_ac"])
     sums = rows.groupBy(*keys, "subc1").agg(
         strict_sum(F.col("value_emission") * F.col("value")).alias("imp"))
@@ -103,9 +119,14 @@ def carbon_stock_impacts(emissions: DataFrame, factors: DataFrame) -> DataFrame:
                  "imp", False)
 
 
-def attach_carbon(master: DataFrame, carbon: DataFrame) -> DataFrame:
-    keys = ["Id_sample", "municipality_code", "year", "damage", "impact_category", "unit_impact"]
-    return attach(master, carbon, keys).fillna(0)
+def attach_carbon(matrix: DataFrame, carbon: DataFrame, n: int) -> DataFrame:
+    """Carbon-stock impacts of all samples."""
+    nested = nest_samples(carbon, CARBON_KEYS, NESTED["carbon_samples"], n, "carbon_samples")
+    return attach(matrix, stage(nested, "carbon_samples"), CARBON_KEYS)
+
+
+def attach_transport(matrix: DataFrame, transport: DataFrame) -> DataFrame:
+    return attach(matrix, stage(transport, "transport"), [*LINK_KEYS, *CATEGORY])
 
 
 # --- farming and processing ------------------------------------------------------------------
@@ -193,15 +214,19 @@ def combustion_impacts(emissions: DataFrame, factors: DataFrame) -> DataFrame:
         .where("i_p_fuel_combustion_of IS NOT NULL")
 
 
-def attach_stages(master: DataFrame, processing: DataFrame, electricity: DataFrame,
-                  combustion: DataFrame, transport: DataFrame) -> DataFrame:
-    """Processing and transport stages on the master matrix, missing impacts as zero."""
+def attach_processing(master: DataFrame, processing: DataFrame, electricity: DataFrame,
+                      combustion: DataFrame) -> DataFrame:
+    """Processing stages on the sampled matrix, by sample and category."""
     sampled = ["Id_sample", *CATEGORY]
     out = attach(master, stage(processing, "processing"), sampled)
     out = attach(out, stage(electricity, "electricity"), [*sampled, "region_name"])
-    out = attach(out, stage(combustion, "combustion"), sampled)
-    out = attach(out, stage(transport, "transport"), [*LINK_KEYS, *CATEGORY]).fillna(0)
-    return out.select("Id_sample", *MASTER_KEYS, *MASTER_MEASURES, *CATEGORY, *K.ALL_STAGES)
+    return attach(out, stage(combustion, "combustion"), sampled)
+
+
+def complete_master(master: DataFrame) -> DataFrame:
+    """All stages in a stated order, missing values as zero."""
+    return master.fillna(0).select("Id_sample", *MASTER_KEYS, *MASTER_MEASURES, *CATEGORY,
+                                   *K.ALL_STAGES)
 
 
 # --- products --------------------------------------------------------------------------------

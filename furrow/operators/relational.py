@@ -85,6 +85,43 @@ def expand_samples(df: DataFrame, n: int, column: str = "Id_sample") -> DataFram
     return df.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias(column))
 
 
+ROWS_PER_TASK = 2_000_000
+
+
+def spread(df: DataFrame, keys: Sequence[str], factor: int) -> DataFrame:
+    """Place rows by key before each of them multiplies by `factor`.
+
+    The number of partitions follows from the measured number of rows, so that a task produces
+    about ROWS_PER_TASK rows. Later groupings that contain the keys need no further shuffle, so the
+    multiplied rows are never shuffled.
+    """
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(parallel, -(-df.count() * factor // ROWS_PER_TASK)), *keys)
+
+
+def nest_samples(df: DataFrame, keys: Sequence[str], values: Sequence[str], n: int, name: str
+                 ) -> DataFrame:
+    """One row per key with its n samples as an array of (Id_sample, values), in sample order.
+
+    A key has at most one row per sample, which bounds the array by n. Samples that a key lacks
+    become null entries, so entry i always belongs to sample i.
+    """
+    held = df.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("Id_sample", *values))).alias("__held"))
+    complete = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(
+        F.filter("__held", lambda e: e["Id_sample"] == i), F.lit(0)))
+    return held.select(*keys, F.when(F.size("__held") == n, F.col("__held"))
+                       .otherwise(complete).alias(name))
+
+
+def unnest_samples(df: DataFrame, nested: dict[str, Sequence[str]], n: int) -> DataFrame:
+    """Every row once per sample, with the sample's values out of each nested array."""
+    rows = expand_samples(df, n)
+    picked = {v: F.get(F.col(name), F.col("Id_sample") - 1)[v]
+              for name, values in nested.items() for v in values}
+    return rows.withColumns(picked).drop(*nested)
+
+
 def share_of_total(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
     """Value over its group's total. The totals combine before the shuffle and come back as a
     staged lookup, so no group is ever gathered in one task."""

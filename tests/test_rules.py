@@ -41,6 +41,14 @@ def test_dominant_link_missing_volume_gives_no_candidate(spark):
     assert rows(T.dominant_link(df, "code", ["a"], [99]), "candidate") == [(None,)]
 
 
+def test_null_link_key_is_a_link_of_its_own_in_every_tier(spark):
+    df = spark.createDataFrame([(1, None, "p", 99, 1.0), (1, None, "p", 4, 2.0), (1, "x", None, 99, 1.0),
+                                (1, "x", None, 6, 2.0)],
+                               "year int, a string, b string, code bigint, soy_eq double")
+    got = rows(T.dominant_links(df, "code", [["a"], ["b"]], [99]), "tier", "a", "b", "candidate")
+    assert got == [(1, "x", None, 6), (1, None, None, 4), (2, None, "p", 4), (2, None, None, 6)]
+
+
 def test_excluded_code_can_not_win_and_sums_come_before_the_maximum(spark):
     df = spark.createDataFrame([(1, "x", 27, 90.0), (1, "x", 5, 2.0), (1, "x", 5, 2.0),
                                 (1, "x", 6, 3.0), (1, "x", 99, 1.0)], FLOW)
@@ -66,9 +74,10 @@ def test_pooled_dominant_link(spark, data, want):
 def test_cascade_takes_the_first_known_tier_and_the_last_one_unconditionally(spark):
     flows = spark.createDataFrame([(3, "a", "p"), (99, "a", "p"), (99, "b", "p"), (99, "b", "q")],
                                   "code bigint, k1 string, k2 string").withColumn("year", F.lit(1))
-    one = spark.createDataFrame([(1, "a", 7), (1, "b", 99)], "year int, k1 string, candidate bigint")
-    two = spark.createDataFrame([(1, "p", 8), (1, "q", 99)], "year int, k2 string, candidate bigint")
-    out = T.fill_node(flows, "code", [(one, ["k1"]), (two, ["k2"])], lambda c: ~c.isin([99]),
+    table = spark.createDataFrame(
+        [(1, 1, "a", None, 7), (1, 1, "b", None, 99), (2, 1, None, "p", 8), (2, 1, None, "q", 99)],
+        "tier int, year int, k1 string, k2 string, candidate bigint")
+    out = T.fill_node(flows, "code", table, [["k1"], ["k2"]], lambda c: ~c.isin([99]),
                       "label", ["known", "first", "second"])
     assert rows(out, "code", "label") == [
         (3, "known"), (7, "first"), (8, "second"), (99, "second")]

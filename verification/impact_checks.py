@@ -305,8 +305,12 @@ def _farm(s, d, tag):
     return I.farm_stages(_upstream(s, d, tag), _onfield(s, d, tag), SCOPES[tag][0])
 
 
-def _master(s, d, n=2):
-    return I.master_matrix(I.trade_links(load(s, d, "trade")), I.impact_catalogue(_background(s, d)), n)
+def _matrix(s, d):
+    return I.category_matrix(I.trade_links(load(s, d, "trade")), I.impact_catalogue(_background(s, d)))
+
+
+def _master(s, d):
+    return I.master_matrix(_matrix(s, d), 2)
 
 
 def _distances(s, d):
@@ -487,7 +491,7 @@ def checks() -> dict:
     mkeys = ["Id_sample", "municipality_code", "export_port_code1", "import_country_name", "year", "impact_category", "damage", "unit_impact"]
     stressed = ["i_land_occupation", "i_land_transformation"]
     add("I05_land_stress",
-        lambda s, d: rounded(I.attach_land_stress(_master(s, d), B.adjust_double_cropping(_stress(s, d))).select(*mkeys, *stressed), stressed, 5),
+        lambda s, d: rounded(I.master_matrix(I.attach_land_stress(_matrix(s, d), B.adjust_double_cropping(_stress(s, d)), N), 2).select(*mkeys, *stressed), stressed, 5),
         f"WITH {MATRIX},{STRESS} SELECT {', '.join('m.' + k for k in mkeys)}, round(s.cf_occ_glo, 5) AS i_land_occupation, "
         "round(s.cf_tra_glo * s.double_cropping_share * 0.5 + s.cf_tra_glo * (1 - s.double_cropping_share), 5) AS i_land_transformation "
         "FROM matrix m LEFT JOIN stress s ON m.Id_sample = s.Id_sample AND m.region_name = s.region_name AND m.state_code = s.state_code "
@@ -495,8 +499,8 @@ def checks() -> dict:
         "AND m.impact_category = 'Land stress, TE, average'")
     carbon = ["i_luclu_above_biomass", "i_luclu_soc"]
     add("I06_carbon_impact",
-        lambda s, d: rounded(I.attach_carbon(_master(s, d), I.carbon_stock_impacts(E.emissions_by_substance(E.fill_emissions(_placed(s, d))), load(s, d, "cf")))
-                             .select(*mkeys, *carbon), carbon, 9),
+        lambda s, d: rounded(I.master_matrix(I.attach_carbon(_matrix(s, d), I.carbon_stock_impacts(E.emissions_by_substance(
+            E.fill_emissions(_placed(s, d))), load(s, d, "cf")), N), 2).fillna(0).select(*mkeys, *carbon), carbon, 9),
         f"""WITH {MATRIX},{ORIGINS},{CARBON_FILL},{LONG},{CF}, k AS (SELECT Id_sample, municipality_code, year, damage, impact_category, unit_impact,
   sum(value_emission * value) FILTER (WHERE subc1 = 'ibmb') AS a, sum(value_emission * value) FILTER (WHERE subc1 = 'iSOC') AS b
   FROM long JOIN cfs USING (substance_ac) GROUP BY ALL)
@@ -531,11 +535,12 @@ FROM matrix m LEFT JOIN k ON m.Id_sample = k.Id_sample AND m.municipality_code =
     attached = [*pcols, *ecols, "i_p_fuel_combustion_of", *TRANSPORT_STAGES]
 
     def _staged(s, d):
-        master = _master(s, d).withColumns({c: F.lit(0.0) for c in [*LAND_STAGES, *FARM_STAGES]})
-        return I.attach_stages(master, I.processing_background_impacts(_processing(s, d), _background(s, d)),
-                               I.electricity_impacts(_processing(s, d), _background(s, d)),
-                               I.combustion_impacts(_combustion(s, d), load(s, d, "cf")),
-                               D.distance_impacts(_distances(s, d), _background(s, d)))
+        background, rows = _background(s, d), _processing(s, d)
+        matrix = I.attach_transport(_matrix(s, d), D.distance_impacts(_distances(s, d), background))
+        master = I.master_matrix(matrix, 2).withColumns({c: F.lit(0.0) for c in [*LAND_STAGES, *FARM_STAGES]})
+        return I.complete_master(I.attach_processing(
+            master, I.processing_background_impacts(rows, background), I.electricity_impacts(rows, background),
+            I.combustion_impacts(_combustion(s, d), load(s, d, "cf"))))
 
     add("I14_stage_attachment", lambda s, d: rounded(_staged(s, d).select(*mkeys, *attached), attached),
         f"WITH {BURNT},{MATRIX},{CF}{PROCESSED},{DISTANCES},{TRANSPORT[len(DISTANCES) + len(BACKGROUND) + 2:].strip().lstrip(',')} "
