@@ -89,14 +89,15 @@ ROWS_PER_TASK = 2_000_000
 
 
 def spread(df: DataFrame, keys: Sequence[str], factor: int) -> DataFrame:
-    """Place rows by key before each of them multiplies by `factor`.
+    """Stage rows and place them by key before each of them multiplies by `factor`.
 
-    The number of partitions follows from the measured number of rows, so that a task produces
-    about ROWS_PER_TASK rows. Later groupings that contain the keys need no further shuffle, so the
+    The number of partitions follows from the number of staged rows, so that a task produces about
+    ROWS_PER_TASK rows. Later groupings that contain the keys need no further shuffle, so the
     multiplied rows are never shuffled.
     """
+    held = stage(df, "placed")
     parallel = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(parallel, -(-df.count() * factor // ROWS_PER_TASK)), *keys)
+    return held.repartition(max(parallel, -(-held.count() * factor // ROWS_PER_TASK)), *keys)
 
 
 def nest_samples(df: DataFrame, keys: Sequence[str], values: Sequence[str], n: int, name: str

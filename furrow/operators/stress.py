@@ -9,7 +9,7 @@ from furrow import constants as K
 from furrow.functions.nulls import ratio, strict_avg, strict_sum
 from furrow.functions.quantiles import group_quantiles
 from furrow.operators.relational import (attach, fill_by_tier_means, keep_matches, rows_with_nulls,
-                                         share_of_total, widen)
+                                         share_of_total, spread, widen)
 from furrow.operators.sampling import triangular_draws
 from furrow.sources.stages import stage
 
@@ -105,11 +105,14 @@ STRESS_KEYS = ["region_name", "state_code", "municipality_code", "year", "occ",
 def stress_factors(land: DataFrame, shares: DataFrame, summary: DataFrame, n: int) -> DataFrame:
     """Ecoregion-weighted factors per unit-year and sample, scaled to the observed land split.
 
-    Ranges are joined first and drawn afterwards, so no table of draws is joined.
+    Ranges are joined and placed by unit and year first and drawn afterwards: no table of draws is
+    joined and the sums over ecoregions shuffle no samples.
     """
     rows = keep_matches(attach(land, shares, ["municipality_code"]),
                         summary.drop("realm"), ["eco_id", "habitat_id"])
-    drawn = triangular_draws(rows, FACTOR_BOUNDS, [], n, [*STRESS_KEYS, "pt_int_amun"], shared=True)
+    placed = spread(rows, ["municipality_code", "year"], n)
+    drawn = triangular_draws(placed, FACTOR_BOUNDS, [], n, [*STRESS_KEYS, "pt_int_amun"],
+                             shared=True)
     sums = drawn.groupBy("Id_sample", *STRESS_KEYS).agg(
         strict_sum(F.col("cf_occ_glo") * F.col("pt_int_amun") * K.SEASON_FRACTION)
         .alias("cf_occ_glo"),

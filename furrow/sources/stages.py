@@ -35,8 +35,9 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tune(spark: SparkSession) -> SparkSession:
+def tune(spark: SparkSession, broadcast_limit: str = "64MB") -> SparkSession:
     """Session settings the joins rely on; all of them are runtime SQL settings."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast_limit)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")

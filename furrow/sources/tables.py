@@ -49,6 +49,15 @@ def write_pixels(pixels: DataFrame, path: str, band: int = PIXEL_BAND) -> None:
         .write.mode("overwrite").partitionBy("layer", "year").parquet(path)
 
 
+def save_pixels(pixels: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Pixel table bucketed by cell: all layers and years of a cell share a bucket, so aligning
+    them is an aggregation without a shuffle. Choose `buckets` so that one fits a task."""
+    cell = ["cell_row", "cell_col"]
+    pixels.repartition(buckets, *cell).write.mode("overwrite").bucketBy(buckets, *cell) \
+        .option("path", path).saveAsTable(table)
+    return pixels.sparkSession.table(table)
+
+
 def read_layer(spark: SparkSession, path: str, layer: str, years: Sequence[int] = ()
                ) -> DataFrame:
     """One layer of a pixel table; folders of other layers and years are not read."""

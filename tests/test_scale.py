@@ -9,10 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions.quantiles import group_quantiles
+from furrow.operators import carbon as E
 from furrow.operators import flows as T
 from furrow.operators import grid as S
-from furrow.operators.relational import attach
+from furrow.operators.relational import attach, nest_samples, unnest_samples
 from furrow.sources.stages import stage, stage_root, tune
+from verification import impact_checks as C
+from verification.grid_checks import bucketed
 from verification.views import load
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -51,6 +54,36 @@ def test_alignment_of_five_layers_is_one_shuffle_without_joins(spark):
     assert joins == base[:base.index("(1)")].count("Join")
 
 
+def test_bucketed_pixels_align_without_any_shuffle(spark):
+    text = plan(S.crop_cells(S.align_layers(bucketed(spark, SF_DIR), 0.25, 0.0005)))
+    assert "Exchange" not in text
+
+
+def test_samples_are_never_shuffled_on_the_way_to_emissions(spark):
+    rows = C._weighed(spark, SF_DIR)
+    out = E.emissions_per_hectare(E.roll_up_classes(E.roll_up_zones(
+        E.stock_emissions(E.draw_stocks(rows, 5)))))
+    text = plan(out)
+    body = text[:text.index("\n(1)")]
+    assert body.count("Exchange") == 1 and body.index("Generate") < body.index("Exchange")
+
+
+def test_tiers_of_a_node_read_the_flows_once(spark):
+    flows = stage(load(spark, SF_DIR, "flow"), "scan_test")
+    text = plan(T.dominant_links(flows, "municipality_code", T.ORIGIN_TIERS, [9999999]))
+    assert text[:text.index("\n(1)")].count("Scan parquet") == 1
+
+
+def test_nested_samples_keep_their_place(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 3, 3.0), ("b", 2, None), ("b", 1, 5.0),
+                                ("b", 3, 6.0)], "k string, Id_sample int, v double")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    wide = attach(keys, nest_samples(df, ["k"], ["v"], 3, "held"), ["k"])
+    got = {(r.k, r.Id_sample): r.v for r in unnest_samples(wide, {"held": ["v"]}, 3).collect()}
+    assert got == {("a", 1): 1.0, ("a", 2): None, ("a", 3): 3.0, ("b", 1): 5.0, ("b", 2): None,
+                   ("b", 3): 6.0, ("c", 1): None, ("c", 2): None, ("c", 3): None}
+
+
 def test_crop_is_an_equality_join(spark):
     text = plan(S.crop(load(spark, SF_DIR, "cell"), load(spark, SF_DIR, "unit")))
     assert "NestedLoop" not in text and "Cartesian" not in text

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
-from furrow.functions.draws import triangular
 from furrow.operators import grid as S
 from furrow.operators import sampling as M
 from furrow.operators.relational import expand_samples
+from furrow.sources.stages import stage_root
+from furrow.sources.tables import save_pixels
 from verification import draw_sql as D
 from verification.flow_checks import _q, round_sql, rounded
 from verification.views import load, oracle
@@ -71,6 +74,11 @@ def labelled(s, d):
     return S.label_land_demand(S.roll_up_cover(S.clean_cover(linked(s, d))))
 
 
+def bucketed(s, d):
+    tag = uuid4().hex
+    return save_pixels(load(s, d, "pixel"), f"pixels_{tag}", f"{stage_root(s)}/furrow/pixels-{tag}", 8)
+
+
 def _zones(s, d):
     return S.zone_areas(load(s, d, "pixel"), load(s, d, "unit"), WIDTH, HEIGHT)
 
@@ -101,6 +109,9 @@ def checks() -> dict:
     add("S06_layer_alignment",
         _q("pixel", lambda p: S.align_layers(p, WIDTH, HEIGHT).select(*columns, F.round("area", 7).alias("area"))),
         f"WITH {ALIGNED} SELECT {', '.join(columns)}, round(area, 7) AS area FROM aligned")
+    add("S06_bucketed_alignment",
+        lambda s, d: S.align_layers(bucketed(s, d), WIDTH, HEIGHT).select(*columns, F.round("area", 7).alias("area")),
+        f"WITH {ALIGNED} SELECT {', '.join(columns)}, round(area, 7) AS area FROM aligned")
     add("S07_crop_cells",
         _q("pixel", lambda p: S.crop_cells(S.align_layers(p, WIDTH, HEIGHT)).select(*columns, "csoc")),
         f"WITH {ALIGNED} SELECT {', '.join(columns)}, csoc FROM crop_cell")
