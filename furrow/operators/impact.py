@@ -84,16 +84,27 @@ def category_matrix(links: DataFrame, catalogue: DataFrame) -> DataFrame:
     return keep_matches(rows, numbered, ["slot"]).drop("slot")
 
 
+# nested arrays of the category matrix and the stages that each holds
+NESTED = {"stress_samples": K.LAND_STAGES[:2], "carbon_samples": K.LAND_STAGES[2:],
+          "farm_samples": K.FARM_STAGES, "process_samples": list(K.PROCESS_STAGES.values()),
+          "power_samples": list(K.ELECTRICITY_STAGES.values()),
+          "burn_samples": ["i_p_fuel_combustion_of"]}
+
+
+def attach_sampled(matrix: DataFrame, table: DataFrame, keys: list[str], name: str, n: int
+                   ) -> DataFrame:
+    """Stage impacts of all samples as one array per key, joined before the matrix multiplies."""
+    nested = nest_samples(table, keys, NESTED[name], n, name)
+    return attach(matrix, stage(nested, name), keys)
+
+
 def master_matrix(matrix: DataFrame, n: int) -> DataFrame:
-    """The category matrix once per sample. Whatever has no sample, and the land stages as nested
-    arrays, is attached before; so the multiplied rows start where they are needed."""
+    """The category matrix once per sample, the last step: every stage has been attached before,
+    either without samples or as an array of them, so the multiplied rows are never joined."""
     nested = {name: stages for name, stages in NESTED.items() if name in matrix.columns}
     return unnest_samples(matrix, nested, n)
 
 
-NESTED = {"stress_samples": K.LAND_STAGES[:2], "carbon_samples": K.LAND_STAGES[2:]}
-
-
 def attach_land_stress(matrix: DataFrame, stress: DataFrame, n: int) -> DataFrame:
     """Occupation and transformation factors of all samples, on the land-stress category only."""
     keys = ["region_name", "state_code", "municipality_code", "year"]
@@ -101,9 +112,7 @@ def attach_land_stress(matrix: DataFrame, stress: DataFrame, n: int) -> DataFram
                           F.lit(K.LAND_CATEGORY).alias("impact_category"),
                           F.col("cf_occ_glo").alias("i_land_occupation"),
                           F.col("cf_tra_glo_dc").alias("i_land_transformation"))
-    keys += ["damage", "impact_category"]
-    nested = nest_samples(table, keys, NESTED["stress_samples"], n, "stress_samples")
-    return attach(matrix, stage(nested, "stress_samples"), keys)
+    return attach_sampled(matrix, table, [*keys, "damage", "impact_category"], "stress_samples", n)
 
 
 CARBON_KEYS = ["municipality_code", "year", "damage", "impact_category", "unit_impact"]
@@ -121,8 +130,7 @@ def carbon_stock_impacts(emissions: DataFrame, factors: DataFrame) -> DataFrame:
 
 def attach_carbon(matrix: DataFrame, carbon: DataFrame, n: int) -> DataFrame:
     """Carbon-stock impacts of all samples."""
-    nested = nest_samples(carbon, CARBON_KEYS, NESTED["carbon_samples"], n, "carbon_samples")
-    return attach(matrix, stage(nested, "carbon_samples"), CARBON_KEYS)
+    return attach_sampled(matrix, carbon, CARBON_KEYS, "carbon_samples", n)
 
 
 def attach_transport(matrix: DataFrame, transport: DataFrame) -> DataFrame:
@@ -162,7 +170,7 @@ def farm_stages(background: DataFrame, field: DataFrame, scope: Scope) -> DataFr
     return wide.fillna(0, subset=K.FARM_STAGES)
 
 
-def attach_farming(master: DataFrame, state: DataFrame, region: DataFrame) -> DataFrame:
+def attach_farming(matrix: DataFrame, state: DataFrame, region: DataFrame, n: int) -> DataFrame:
     """State impacts where the state has data, regional ones elsewhere, chosen row by row.
 
     Both tables carry a place key of their own kind, so one join serves both.
@@ -175,9 +183,8 @@ def attach_farming(master: DataFrame, state: DataFrame, region: DataFrame) -> Da
     place = F.when(F.col("dummy_uf_reg") == "uf",
                    F.concat(F.lit("uf-"), F.col("state_code").cast("string"))) \
         .when(F.col("dummy_uf_reg") == "reg", F.concat(F.lit("reg-"), F.col("region_name")))
-    keyed = master.withColumn("__place", place)
-    return attach(keyed, stage(table, "farm_stages"), ["Id_sample", "__place", *CATEGORY]) \
-        .drop("__place")
+    keyed = matrix.withColumn("__place", place)
+    return attach_sampled(keyed, table, ["__place", *CATEGORY], "farm_samples", n).drop("__place")
 
 
 def processing_background_impacts(rows: DataFrame, background: DataFrame) -> DataFrame:
@@ -214,13 +221,12 @@ def combustion_impacts(emissions: DataFrame, factors: DataFrame) -> DataFrame:
         .where("i_p_fuel_combustion_of IS NOT NULL")
 
 
-def attach_processing(master: DataFrame, processing: DataFrame, electricity: DataFrame,
-                      combustion: DataFrame) -> DataFrame:
-    """Processing stages on the sampled matrix, by sample and category."""
-    sampled = ["Id_sample", *CATEGORY]
-    out = attach(master, stage(processing, "processing"), sampled)
-    out = attach(out, stage(electricity, "electricity"), [*sampled, "region_name"])
-    return attach(out, stage(combustion, "combustion"), sampled)
+def attach_processing(matrix: DataFrame, processing: DataFrame, electricity: DataFrame,
+                      combustion: DataFrame, n: int) -> DataFrame:
+    """Processing stages of all samples, by category and, for electricity, region."""
+    out = attach_sampled(matrix, processing, CATEGORY, "process_samples", n)
+    out = attach_sampled(out, electricity, [*CATEGORY, "region_name"], "power_samples", n)
+    return attach_sampled(out, combustion, CATEGORY, "burn_samples", n)
 
 
 def complete_master(master: DataFrame) -> DataFrame:

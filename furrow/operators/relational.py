@@ -116,11 +116,18 @@ def nest_samples(df: DataFrame, keys: Sequence[str], values: Sequence[str], n: i
 
 
 def unnest_samples(df: DataFrame, nested: dict[str, Sequence[str]], n: int) -> DataFrame:
-    """Every row once per sample, with the sample's values out of each nested array."""
-    rows = expand_samples(df, n)
-    picked = {v: F.get(F.col(name), F.col("Id_sample") - 1)[v]
-              for name, values in nested.items() for v in values}
-    return rows.withColumns(picked).drop(*nested)
+    """Every row once per sample, with the sample's values out of each nested array.
+
+    The arrays are zipped and the zipped array is what explodes, so an exploded row carries one
+    entry of each array and never the arrays. A missing array gives missing values.
+    """
+    types = dict(df.dtypes)
+    arrays = [F.coalesce(F.slice(F.col(name), 1, n), F.array().cast(types[name])).alias(name)
+              for name in nested]
+    numbers = F.sequence(F.lit(1), F.lit(n)).alias("Id_sample")
+    rows = df.withColumn("__entry", F.explode(F.arrays_zip(numbers, *arrays))).drop(*nested)
+    picked = {v: F.col(f"__entry.{name}.{v}") for name, values in nested.items() for v in values}
+    return rows.withColumns({"Id_sample": F.col("__entry.Id_sample")} | picked).drop("__entry")
 
 
 def share_of_total(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:

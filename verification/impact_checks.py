@@ -518,7 +518,8 @@ FROM matrix m LEFT JOIN k ON m.Id_sample = k.Id_sample AND m.municipality_code =
     both = f"WITH {FUEL},{MATRIX},{CF},{farm_cte('state', SCOPES['state'][0].substances)},{farm_cte('region', SCOPES['region'][0].substances)}"
     same = " AND ".join(f"m.{k} = {{t}}.{k}" for k in ["Id_sample", "method", "impact_category", "unit_impact", "damage"])
     add("I10_scope_selection",
-        lambda s, d: rounded(I.attach_farming(_master(s, d), _farm(s, d, "state"), _farm(s, d, "region")).select(*mkeys, *FARM_STAGES), FARM_STAGES),
+        lambda s, d: rounded(I.master_matrix(I.attach_farming(_matrix(s, d), _farm(s, d, "state"), _farm(s, d, "region"), N), 2)
+                             .select(*mkeys, *FARM_STAGES), FARM_STAGES),
         both + f" SELECT {', '.join('m.' + k for k in mkeys)}, " + ", ".join(
             f"round(CASE WHEN dummy_uf_reg = 'uf' THEN s.{c} ELSE r.{c} END, 6) AS {c}" for c in FARM_STAGES)
         + f" FROM matrix m LEFT JOIN farm_state s ON {same.format(t='s')} AND CAST(m.state_code AS VARCHAR) = s.state_code "
@@ -537,10 +538,10 @@ FROM matrix m LEFT JOIN k ON m.Id_sample = k.Id_sample AND m.municipality_code =
     def _staged(s, d):
         background, rows = _background(s, d), _processing(s, d)
         matrix = I.attach_transport(_matrix(s, d), D.distance_impacts(_distances(s, d), background))
-        master = I.master_matrix(matrix, 2).withColumns({c: F.lit(0.0) for c in [*LAND_STAGES, *FARM_STAGES]})
-        return I.complete_master(I.attach_processing(
-            master, I.processing_background_impacts(rows, background), I.electricity_impacts(rows, background),
-            I.combustion_impacts(_combustion(s, d), load(s, d, "cf"))))
+        matrix = I.attach_processing(
+            matrix, I.processing_background_impacts(rows, background), I.electricity_impacts(rows, background),
+            I.combustion_impacts(_combustion(s, d), load(s, d, "cf")), N)
+        return I.complete_master(I.master_matrix(matrix, 2).withColumns({c: F.lit(0.0) for c in [*LAND_STAGES, *FARM_STAGES]}))
 
     add("I14_stage_attachment", lambda s, d: rounded(_staged(s, d).select(*mkeys, *attached), attached),
         f"WITH {BURNT},{MATRIX},{CF}{PROCESSED},{DISTANCES},{TRANSPORT[len(DISTANCES) + len(BACKGROUND) + 2:].strip().lstrip(',')} "
