@@ -134,3 +134,10 @@ def test_stage_root_comes_from_the_session(spark):
     assert stage_root(spark)
     if old:
         assert stage_root(spark) == old.rstrip("/")
+
+
+def test_multiplied_master_rows_are_neither_joined_nor_shuffled(spark):
+    text = plan(C.checks()["I14_stage_attachment"][0](spark, SF_DIR))
+    body = text[:text.index("\n(1)")]
+    above = body[:body.index("Generate")]
+    assert "Join" not in above and "Exchange" not in above

@@ -246,12 +246,10 @@ def _q(view, fn):
 
 
 def _traded(spark, sf):
-    flows = load(spark, sf, "flow").where("municipality_code <> 9999999")
-    return T.attach_trade(flows, load(spark, sf, "countries"), T.trade_statistics(load(spark, sf, "exports")))
+    return T.attach_trade(load(spark, sf, "flow"), load(spark, sf, "countries"), T.trade_statistics(load(spark, sf, "exports")))
 
 
-TRADED_FROM = """known_flows AS (SELECT * FROM flow WHERE municipality_code <> 9999999),""" \
-    + TRADE + "," + FOREIGN_SOURCE.format(source="known_flows")
+TRADED_FROM = TRADE + "," + FOREIGN_SOURCE.format(source="flow")
 
 
 def _tables(spark, sf):

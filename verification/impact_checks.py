@@ -76,7 +76,7 @@ per_ha AS (SELECT Id_sample, municipality_code, year, area_ha, """ + ", ".join(
 
 ORIGINS = """
 totals AS (SELECT region_code, region_name, state_code, state_name, municipality_code, municipality_name, year, sum(soy_eq) AS soy_eq,
-  """ + _strict("land_use") + """ AS land_use FROM flow WHERE municipality_code <> 9999999 GROUP BY ALL),
+  """ + _strict("land_use") + """ AS land_use FROM flow GROUP BY ALL),
 many AS (""" + R.samples("totals", N) + """),
 placed AS (SELECT m.*, s.area_ha, s.CO2e_soc, s.CO2e_bmb, s.CH4e, s.N2Oe, s.NOxe FROM many m LEFT JOIN stock s
   ON m.Id_sample = s.Id_sample AND m.municipality_code = s.municipality_code AND m.year = s.year)"""
@@ -102,7 +102,7 @@ def _by_class(s, d):
 
 
 def _placed(s, d):
-    return E.attach_emissions(load(s, d, "flow").where("municipality_code <> 9999999"), load(s, d, "stock"), N)
+    return E.attach_emissions(load(s, d, "flow"), load(s, d, "stock"), N)
 
 
 # --- land stress -----------------------------------------------------------------------------

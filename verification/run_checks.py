@@ -18,7 +18,7 @@ from verification.views import load, oracle
 
 N = 2
 OWN = {"trade": "harmonised", "farm": "harmonised", "origin": "origin_h", "change": "change_h", "cover": "cover_h", "zone": "zone_h",
-       "stock": "per_ha", "master": "master_h", "flow WHERE municipality_code <> 9999999": "harmonised"}
+       "stock": "per_ha", "master": "master_h"}
 
 
 def _own(text: str) -> str:
@@ -43,7 +43,7 @@ EMISSION_PARTS = [
     "ELSE map_biomas_class_code END AS map_biomas_class_code) FROM shared)", S.ZONES,
     f"zone_h AS (SELECT b.biome, b.municipality_code, {S.ZONE_CASE} AS ipcc_code, area_eco_zone FROM (SELECT DISTINCT biome, municipality_code "
     "FROM cover_h) b LEFT JOIN (SELECT * FROM zones WHERE ipcc_code IS NOT NULL) z ON b.municipality_code IS NOT DISTINCT FROM z.municipality_code "
-    "WHERE biome IS NOT NULL)", C.EMITTED, C.ORIGINS, C.CARBON_FILL, C.LONG]
+    "WHERE biome IS NOT NULL)", C.EMITTED, C.ORIGINS.replace("FROM flow", "FROM harmonised"), C.CARBON_FILL, C.LONG]
 IMPACT_PARTS = [
     C.STRESS, C.MATRIX, C.CF, C.FUEL, C.farm_cte("state", C.SCOPES["state"][0].substances),
     C.farm_cte("region", C.SCOPES["region"][0].substances), C.BURNT[:C.BURNT.index(C.FUEL) - 1], C.BURNT[C.BURNT.index(C.FUEL) + len(C.FUEL) + 1:],
