@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from furrow.operators import flows as T
 from furrow.operators.relational import attach
 from furrow.plans.completion import complete_flows, complete_nodes
+from furrow.sources.stages import stage
 from verification.views import load, oracle
 
 
@@ -245,6 +246,11 @@ def _q(view, fn):
     return lambda spark, sf: fn(load(spark, sf, view))
 
 
+def _table(view, fn):
+    """For operators that read their input more than once: the view as a table, as a user has it."""
+    return lambda spark, sf: fn(stage(load(spark, sf, view), view))
+
+
 def _traded(spark, sf):
     return T.attach_trade(load(spark, sf, "flow"), load(spark, sf, "countries"), T.trade_statistics(load(spark, sf, "exports")))
 
@@ -253,8 +259,9 @@ TRADED_FROM = TRADE + "," + FOREIGN_SOURCE.format(source="flow")
 
 
 def _tables(spark, sf):
-    return {n: load(spark, sf, n) for n in
-            ["flow", "ports", "yields", "exports", "countries", "crushing", "prices"]}
+    tables = {n: load(spark, sf, n) for n in
+              ["ports", "yields", "exports", "countries", "crushing", "prices"]}
+    return tables | {"flow": stage(load(spark, sf, "flow"), "flow")}
 
 
 def _domestic(spark, sf):
@@ -425,7 +432,7 @@ FROM flow f LEFT JOIN ports p ON f.export_port_code = p.export_port_code AND f.i
         + ", ".join(f"round(max({c}), 6) AS {c}" for c in ["soy_yield", "double_cropping_share", "dom_kmeal_af", "for_oil_af"])
         + " FROM harmonised GROUP BY ALL")
     add("T00_completed_nodes",
-        _q("flow", lambda f: complete_nodes(f).groupBy(
+        _table("flow", lambda f: complete_nodes(f).groupBy(
             "year", "municipality_data_quality", "export_port_data_quality", "import_country_data_quality",
             "import_country_name", "subregion_mo").agg(F.count(F.lit(1)).alias("n"), F.sum("soy_eq").alias("soy_eq"))),
         NODES + " SELECT year, municipality_data_quality, export_port_data_quality, import_country_data_quality, "

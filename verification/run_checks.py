@@ -11,6 +11,7 @@ from furrow.constants import ALL_STAGES, FARM_STAGES
 from furrow.operators import impact as I
 from furrow.plans import footprints as P
 from furrow.sources.schemas import SCHEMAS
+from furrow.sources.stages import stage
 from verification import flow_checks as T
 from verification import grid_checks as S
 from verification import impact_checks as C
@@ -88,6 +89,8 @@ def full_sql() -> str:
 
 def full_run(spark, sf):
     tables = {n: load(spark, sf, n) for n in SCHEMAS}
+    tables["flow"] = stage(tables["flow"], "flow")
+    tables["pixel"] = stage(tables["pixel"], "pixel")
     products = P.run(tables, load(spark, sf, "unit"), S.WIDTH, S.HEIGHT, N)
     volume = {"equivalent": "soy_eq"} | {n: p.volume for n, p in P.PRODUCTS.items()}
     return reduce(lambda a, b: a.unionByName(b), [
