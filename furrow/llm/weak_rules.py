@@ -109,7 +109,7 @@ def votes() -> list[tuple[str, Column]]:
     length = F.col("word_chars") / words
     return [
         ("short", _vote(F.col("n_words") < 20)),
-        ("word_length", _vote((length < 2.5) | (length > 11), length.between(3.5, 9))),
+        ("word_length", _vote((length < 2.5) | (length > 11))),
         ("symbols", _vote(symbols > 0.05, symbols < 0.01)),
         ("dup_lines", _vote(F.col("n_dup_lines") / lines > 0.3)),
         ("repeats", _vote(F.col("n_repeat_words") / words > 0.3)),
