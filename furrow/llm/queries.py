@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from furrow.llm import warc, word_bpe
+from furrow.llm import (byte_cnn, column_bwt, license_rules, mixing, order_minhash, setsketch,
+                        suffix_trees, warc, weak_rules, word_bpe)
 from furrow.sources.stages import stage
 
 BPE_FILE = "word_bpe_49k.json"
@@ -28,14 +30,51 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_archives(archives))
 
 
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(_documents(spark, sf_dir))
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_neighbours(_documents(spark, sf_dir))
+
+
+def op4_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = column_bwt.remove_repeats(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed",
+                        F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_trees.remove_repeats(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.predict_held_out(_documents(spark, sf_dir))
+
+
+def op7_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.report(weak_rules.judge(_documents(spark, sf_dir)))
+
+
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
     return word_bpe.digests(word_bpe.decode(word_bpe.encode(_documents(spark, sf_dir), path), path))
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_documents(spark, sf_dir))
+
+
+def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc,
-    "op8_word_bpe": op8_word_bpe,
+    query.__name__: query
+    for query in (op1_warc, op2_license_rules, op3_order_minhash, op4_column_bwt, op5_suffix_trees,
+                  op6_byte_cnn, op7_weak_rules, op8_word_bpe, op9_pfair_mixing, op10_setsketch)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_rules": license_rules.oracle()}
