@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from furrow.llm import blocks
-from furrow.llm.runs import Runs, find_runs, mix
+from furrow.llm.runs import Runs, find_runs
 
 #: Notes of one minimizer (at most one per block) beyond which its windows part.
 HOT_NOTES = 256
@@ -87,7 +87,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, solve: Callable[[Strings], Ite
         return blocks.notes(_minimizers(batches, unit, n))
 
     def repeated(batches):
-        return blocks.answers(_repeated(batches, hot))
+        return blocks.answers(repeated_keys(batches, hot))
 
     def strings(batches):
         return blocks.notes(_strings(batches, unit, n))
@@ -119,9 +119,9 @@ def _minimizers(batches, unit: Unit, n: int) -> Iterator[tuple[int, int, bytes]]
         held.setdefault(block, []).append(keys)
         size += len(keys)
         if size > HELD_KEYS:
-            yield from _keys_sent(held, n)
+            yield from keys_sent(held, n)
             held, size = {}, 0
-    yield from _keys_sent(held, n)
+    yield from keys_sent(held, n)
 
 
 def _text_batches(batches) -> Iterator[tuple[int, list[bytes]]]:
@@ -137,7 +137,8 @@ def _text_batches(batches) -> Iterator[tuple[int, list[bytes]]]:
         yield block, own[1]
 
 
-def _keys_sent(held: dict[int, list[np.ndarray]], n: int) -> Iterator[tuple[int, int, bytes]]:
+def keys_sent(held: dict[int, list[np.ndarray]], n: int) -> Iterator[tuple[int, int, bytes]]:
+    """Notes of each block's distinct keys (63 bits); the lowest bit marks those that it has twice."""
     for block, parts in held.items():
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
         marked = keys << np.uint64(1) | (counts > 1)
@@ -148,7 +149,8 @@ def _keys_sent(held: dict[int, list[np.ndarray]], n: int) -> Iterator[tuple[int,
             yield int(bucket[part[0]]), block, marked[part].tobytes()
 
 
-def _repeated(batches, hot: int) -> Iterator[tuple[int, bytes]]:
+def repeated_keys(batches, hot: int) -> Iterator[tuple[int, bytes]]:
+    """Answers the keys that stand more than once; the lowest bit marks those in over `hot` notes."""
     for _, own in groupby(blocks.read(batches), key=lambda row: row[0]):
         sent = [(block, np.frombuffer(blocks.unpack(body), np.uint64)) for _, block, body in own]
         marked = np.concatenate([x for _, x in sent])
@@ -179,18 +181,18 @@ def _strings(batches, unit: Unit, n: int) -> Iterator[tuple[int, int, bytes]]:
                 answers.append(np.frombuffer(blocks.unpack(body), np.uint64))
                 continue
             if keys is None:
-                keys = _known(answers)
+                keys = known_keys(answers)
             held.append(text or b"")
             size += len(held[-1])
             if size >= BATCH_BYTES:
                 _cut(held, place, keys, unit, first, sent)
                 place, held, size = place + len(held), [], 0
         if held:
-            _cut(held, place, _known(answers) if keys is None else keys, unit, first, sent)
+            _cut(held, place, known_keys(answers) if keys is None else keys, unit, first, sent)
         yield from sent.notes()
 
 
-def _known(answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def known_keys(answers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     marked = np.unique(np.concatenate(answers)) if answers else np.zeros(0, np.uint64)
     return marked >> np.uint64(1), (marked & np.uint64(1)).astype(bool)
 
@@ -330,6 +332,3 @@ def spans_of(removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the runs of true values."""
     edge = np.diff(np.concatenate([[0], removed.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-__all__ = ["Strings", "Unit", "covered", "later_spans", "mix", "repeated_windows", "spans_of"]

@@ -9,12 +9,15 @@ sorts out hopeless ones, and every link is confirmed on the full sets of shingle
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm import blocks
+from furrow.llm.repeats import keys_sent, known_keys, repeated_keys
 from furrow.llm.runs import gram_hashes, mix
 from furrow.llm.words import word_hashes
 from furrow.sources.stages import stage
@@ -30,6 +33,8 @@ LEAST_ESTIMATE = 0.53
 #: Linked pairs differ in at most so many registers, but for a chance of about 1e-8.
 MOST_DIFFERENT = 62
 _BATCH_BYTES = 1 << 20
+#: Shingles of a block that a task holds before it sends them.
+HELD_SHINGLES = 2_000_000
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32)[:, None] | np.uint32(1)
 
 
@@ -183,16 +188,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, items_a, items_b): the pairs whose sets are similar enough."""
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, items_a, items_b): sizes of the sets and of their intersection."""
     for batch in batches:
-        keep = []
+        sizes = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= SIMILARITY_PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)],
-                                         names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sizes.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+        columns = [pa.array(c, pa.int64()) for c in zip(*sizes)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns],
+                                         names=["a", "b", "n_a", "n_b", "common"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,14 +222,86 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids in `docs` (id, text) that are similar enough, on their full sets."""
+def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, common) of pairs (a, b) of ids in `docs` (id, text), from their full sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = stage(docs.join(wanted, "id", "left_semi").select("id", "text")
                  .mapInArrow(_sets, "id long, items binary"), "sets")
     joined = (pairs.join(sets.toDF("b", "items_b"), "b").join(sets.toDF("a", "items_a"), "a")
               .select("a", "b", "items_a", "items_b"))
-    return stage(joined.mapInArrow(_confirm, "a long, b long"), "links")
+    return joined.mapInArrow(_common, "a long, b long, n_a long, n_b long, common long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    similar = F.col("common") * 100 >= SIMILARITY_PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    return stage(_measured(pairs, docs).where(similar).select("a", "b"), "links")
+
+
+def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one head that are in different components and could be linked."""
+    members = (stars.select("a", "b", "different").join(labels.toDF("b", "label"), "b", "left")
+               .join(labels.toDF("a", "head_label"), "a", "left")
+               .select("a", "b", "different", F.coalesce("label", "b").alias("label"),
+                       (F.coalesce("head_label", "a") == F.coalesce("label", "b")).alias("inner")))
+    members = stage(members, "members")
+    open_heads = members.where("not inner").select("a").distinct()
+    left = members.join(open_heads, "a", "left_semi")
+    sizes = stage(shared_shingles(source.join(
+        left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")), "shared")
+    # A link has three quarters of the union in common, so of either set too.
+    able = stage(left.join(sizes.where("4 * shared >= 3 * n").select(
+        F.col("id").alias("b"), "shared"), "b"), "able")
+    exact = _measured(able.select("a", "b"), source).withColumn(
+        "far", 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")))
+    able = stage(able.join(exact.select("a", "b", F.col("n_b").alias("n"), "common", "far"),
+                           ["a", "b"]), "exact")
+    outer = able.where("not inner").toDF(*[f"x_{c}" for c in able.columns])
+    in_common = "least(common, x_common) + least(shared - common, x_shared - x_common)"
+    return (able.join(outer, [able.a == outer.x_a, able.label != outer.x_label])
+            .where("inner or b < x_b")
+            .where("abs(far - x_far) <= 0.25 + 1e-9")
+            .where(F.abs(F.col("different") - F.col("x_different")) <= MOST_DIFFERENT)
+            .where(f"7 * ({in_common}) >= 3 * (n + x_n)")
+            .where("4 * least(n, x_n) >= 3 * greatest(n, x_n)")
+            .select(F.least("b", "x_b").alias("a"), F.greatest("b", "x_b").alias("b")).distinct())
+
+
+def shared_shingles(docs: DataFrame) -> DataFrame:
+    """Of documents (id, text): (id, n, shared), how many shingles a set has, and how many of them
+    another of the sets has too. Blocks ask buckets of shingles, each once."""
+    rows = blocks.texts(docs, "id", "text")
+    buckets = blocks.bucket_count(docs)
+
+    def keys(text: bytes) -> np.ndarray:
+        return shingle_sets([text])[0] >> np.uint64(1)
+
+    def sent(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for block, _, _, text, _ in blocks.read(batches):
+            held.setdefault(block, []).append(keys(text or b""))
+            if sum(map(len, held[block])) > HELD_SHINGLES:
+                yield from keys_sent({block: held.pop(block)}, buckets)
+        yield from keys_sent(held, buckets)
+
+    def counted(batches):
+        for block, own in groupby(blocks.read(batches), key=lambda row: row[0]):
+            answers, known = [], None
+            for _, kind, doc_id, text, body in own:
+                if kind == 0:
+                    answers.append(np.frombuffer(blocks.unpack(body), np.uint64))
+                    continue
+                if known is None:
+                    known = known_keys(answers)[0]
+                mine = keys(text or b"")
+                at = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
+                shared = int((known[at] == mine).sum()) if len(known) else 0
+                yield doc_id, len(mine), shared
+
+    types = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())])
+    notes = blocks.ask(rows, lambda batches: blocks.notes(sent(batches)))
+    found = blocks.answer(notes, lambda batches: blocks.answers(repeated_keys(batches, 1 << 62)))
+    return blocks.use(rows, found, lambda batches: blocks.results(counted(batches), types),
+                      "id long, n long, shared long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,27 +337,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def weighed(pairs: DataFrame, tag: str) -> DataFrame:
         joined = (pairs.join(slim.toDF("b", "n_b", "r_b"), "b").join(slim.toDF("a", "n_a", "r_a"), "a")
-                  .where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) or different_sizes"))
-        return stage(joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(
-            _weigh, "a long, b long, different int, likely double"), tag)
+                  .select("a", "b", "n_a", "n_b", "r_a", "r_b"))
+        return stage(joined.mapInArrow(_weigh, "a long, b long, different int, likely double"), tag)
 
     source = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
-    stars = weighed(pairs.withColumn("different_sizes", F.lit(True)), "stars")
+    stars = weighed(pairs, "stars")
     links = _verified(stars.where(F.col("likely") >= LEAST_ESTIMATE).select("a", "b"), source)
     labels = components(links)
-    group = F.coalesce("label", "b").alias("label")
-    members = (stars.join(labels.toDF("b", "label"), "b", "left")
-               .select("a", "b", "different", group))
-    heads_of = labels.toDF("a", "head_label")
-    members = (members.join(heads_of, "a", "left")
-               .withColumn("inner", F.coalesce("head_label", "a") == F.col("label")))
-    members = stage(members.select("a", "b", "different", "label", "inner"), "members")
-    outer = members.where("not inner").select(
-        "a", F.col("b").alias("x"), F.col("different").alias("dx"), F.col("label").alias("lx"))
-    crossing = (members.join(outer, "a").where("label != lx and b != x and (inner or b < x)")
-                .where(F.abs(F.col("different") - F.col("dx")) <= MOST_DIFFERENT)
-                .select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
-                .withColumn("different_sizes", F.lit(False)))
+    crossing = _crossing(stars, labels, source)
     more = weighed(crossing, "crossing").where(F.col("likely") >= LEAST_ESTIMATE).select("a", "b")
     further = _verified(more, source)
     if not further.isEmpty():
