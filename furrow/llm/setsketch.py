@@ -26,12 +26,13 @@ SHINGLE = 5
 SIMILARITY_PERCENT = 75
 # A pair at the limit shares no band with a chance of (1 - 0.75^3)^42 = 1e-10.
 BANDS, ROWS = 42, 3
-REGISTERS = BANDS * ROWS
+#: Registers beyond those in bands sharpen the estimate.
+REGISTERS = 2 * BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-#: Pairs estimated below this similarity are not confirmed: 5.7 deviations below the limit.
-LEAST_ESTIMATE = 0.53
+#: Pairs estimated below this similarity are not confirmed: 5 deviations below the limit.
+LEAST_ESTIMATE = 0.614
 #: Linked pairs differ in at most so many registers, but for a chance of about 1e-8.
-MOST_DIFFERENT = 62
+MOST_DIFFERENT = 101
 _BATCH_BYTES = 1 << 20
 #: Shingles of a block that a task holds before it sends them.
 HELD_SHINGLES = 2_000_000
@@ -102,7 +103,7 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def band_keys(sketches: np.ndarray) -> np.ndarray:
     """(sketches, BANDS) hashes of the bands of registers."""
-    bands = sketches.reshape(len(sketches), BANDS, ROWS).astype(np.uint64)
+    bands = sketches[:, :BANDS * ROWS].reshape(len(sketches), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
     for j in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, j] + np.uint64(1))
@@ -181,6 +182,9 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(found)], names=["a", "b", "different", "likely"])
 
 
+WEIGHED = "a long, b long, different int, likely double"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
@@ -237,8 +241,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stage(_measured(pairs, docs).where(similar).select("a", "b"), "links")
 
 
-def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one head that are in different components and could be linked."""
+def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame, slim: DataFrame) -> DataFrame:
+    """Pairs of members of one head that are in different components and could be linked, with
+    their sizes and registers; a pair may come once per head."""
     members = (stars.select("a", "b", "different").join(labels.toDF("b", "label"), "b", "left")
                .join(labels.toDF("a", "head_label"), "a", "left")
                .select("a", "b", "different", F.coalesce("label", "b").alias("label"),
@@ -253,8 +258,8 @@ def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame) -> DataFra
         F.col("id").alias("b"), "shared"), "b"), "able")
     exact = _measured(able.select("a", "b"), source).withColumn(
         "far", 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")))
-    able = stage(able.join(exact.select("a", "b", F.col("n_b").alias("n"), "common", "far"),
-                           ["a", "b"]), "exact")
+    able = able.join(exact.select("a", "b", F.col("n_b").alias("n"), "common", "far"), ["a", "b"])
+    able = stage(able.join(slim.select(F.col("id").alias("b"), "r"), "b"), "exact")
     outer = able.where("not inner").toDF(*[f"x_{c}" for c in able.columns])
     in_common = "least(common, x_common) + least(shared - common, x_shared - x_common)"
     return (able.join(outer, [able.a == outer.x_a, able.label != outer.x_label])
@@ -263,7 +268,11 @@ def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame) -> DataFra
             .where(F.abs(F.col("different") - F.col("x_different")) <= MOST_DIFFERENT)
             .where(f"7 * ({in_common}) >= 3 * (n + x_n)")
             .where("4 * least(n, x_n) >= 3 * greatest(n, x_n)")
-            .select(F.least("b", "x_b").alias("a"), F.greatest("b", "x_b").alias("b")).distinct())
+            .select(F.least("b", "x_b").alias("a"), F.greatest("b", "x_b").alias("b"),
+                    F.when(able.b < F.col("x_b"), able.n).otherwise(F.col("x_n")).alias("n_a"),
+                    F.when(able.b < F.col("x_b"), F.col("x_n")).otherwise(able.n).alias("n_b"),
+                    F.when(able.b < F.col("x_b"), able.r).otherwise(F.col("x_r")).alias("r_a"),
+                    F.when(able.b < F.col("x_b"), F.col("x_r")).otherwise(able.r).alias("r_b")))
 
 
 def shared_shingles(docs: DataFrame) -> DataFrame:
@@ -335,17 +344,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
              .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     slim = reps.groupBy("id").agg(F.min("n").alias("n"), F.min("registers").alias("r"))
 
-    def weighed(pairs: DataFrame, tag: str) -> DataFrame:
-        joined = (pairs.join(slim.toDF("b", "n_b", "r_b"), "b").join(slim.toDF("a", "n_a", "r_a"), "a")
-                  .select("a", "b", "n_a", "n_b", "r_a", "r_b"))
-        return stage(joined.mapInArrow(_weigh, "a long, b long, different int, likely double"), tag)
-
     source = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
-    stars = weighed(pairs, "stars")
+    stars = stage(pairs.join(slim.toDF("b", "n_b", "r_b"), "b").join(slim.toDF("a", "n_a", "r_a"), "a")
+                  .select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_weigh, WEIGHED), "stars")
     links = _verified(stars.where(F.col("likely") >= LEAST_ESTIMATE).select("a", "b"), source)
     labels = components(links)
-    crossing = _crossing(stars, labels, source)
-    more = weighed(crossing, "crossing").where(F.col("likely") >= LEAST_ESTIMATE).select("a", "b")
+    crossing = _crossing(stars, labels, source, slim)
+    more = stage(crossing.mapInArrow(_weigh, WEIGHED).where(F.col("likely") >= LEAST_ESTIMATE)
+                 .select("a", "b").distinct(), "crossing")
     further = _verified(more, source)
     if not further.isEmpty():
         labels = components(links.union(further))
