@@ -66,7 +66,8 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         return blocks.answers(_encoded(batches, _tokenizer(vocabulary.value)))
 
     notes = blocks.ask(rows, ask)
-    return blocks.use(rows, blocks.answer(notes, answer), _join_back, "doc_id long, ids array<int>")
+    return blocks.use(blocks.packed(rows), blocks.answer(notes, answer), _join_back,
+                      "doc_id long, ids array<int>")
 
 
 def _distinct(batches: blocks.Batches, buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -114,7 +115,7 @@ def _join_back(batches: blocks.Batches) -> blocks.Batches:
         ids_text: list[bytes] = []
         table = None
         doc_ids, ids, size = [], [], 0
-        for _, kind, doc_id, text, body in own:
+        for _, kind, _, _, body in own:
             if kind == 0:
                 for line in blocks.unpack(body).split(b"\n"):
                     word, _, found = line.partition(b"\t")
@@ -126,22 +127,27 @@ def _join_back(batches: blocks.Batches) -> blocks.Batches:
                 count = np.array([x.count(b" ") + 1 if x else 0 for x in ids_text], np.int64)
                 flat = np.array(b" ".join(x for x in ids_text if x).split(), np.int32)
                 table = np.cumsum(count) - count, count, flat
-            first, count, flat = table
-            words = (text or b"").split()
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            number = count[at]
-            ends = np.cumsum(number)
-            total = int(ends[-1]) if len(ends) else 0
-            doc_ids.append(doc_id)
-            ids.append(flat[np.arange(total) + np.repeat(first[at] - ends + number, number)])
-            size += total
-            if size > blocks.BATCH_BYTES // 4 or len(ids) >= 4096:
-                yield _id_batch(doc_ids, ids, types)
-                doc_ids, ids, size = [], [], 0
+            for one, text in blocks.unpacked(body):
+                found = _ids(text, place, *table)
+                doc_ids.append(one)
+                ids.append(found)
+                size += len(found)
+                if size > blocks.BATCH_BYTES // 4 or len(ids) >= 4096:
+                    yield _id_batch(doc_ids, ids, types)
+                    doc_ids, ids, size = [], [], 0
         if ids:
             yield _id_batch(doc_ids, ids, types)
 
 
+def _ids(text: bytes, place: dict[bytes, int], first, count, flat) -> np.ndarray:
+    words = text.split()
+    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    number = count[at]
+    ends = np.cumsum(number)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(first[at] - ends + number, number)]
+
+
 def _id_batch(doc_ids: list, ids: list[np.ndarray], types: pa.Schema) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
@@ -154,11 +160,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     The id-to-piece table is the vocabulary, of fixed size, and goes to every worker. A null or
     empty list gives an empty text. Columns of `encoded` other than doc_id and ids are left out.
     """
-    vocabulary = _vocabulary(encoded, path)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    table = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+    shared = encoded.sparkSession.sparkContext.broadcast(table)
 
     def pieces(batches):
-        tokenizer = _tokenizer(vocabulary.value)
-        piece = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+        piece = shared.value
         for batch in batches:
             lists = batch.column(1)
             values = np.asarray(lists.values)
