@@ -38,10 +38,10 @@ def cell_extents(units: DataFrame, west: float, north: float, width: float, heig
         "col_max": F.round((F.col("xmax") - west) / width).cast("bigint") - 1})
 
 
-def origin_units(flows: DataFrame, units: Sequence[int] = ()) -> DataFrame:
+def origin_units(flows: DataFrame, units: Sequence[int] | None = None) -> DataFrame:
     """Distinct origins of the flows, optionally a chosen few."""
     origins = flows.select("municipality_code").distinct()
-    return origins.where(F.col("municipality_code").isin(list(units))) if units else origins
+    return origins.where(F.col("municipality_code").isin(list(units))) if units is not None else origins
 
 
 def unit_tiles(units: DataFrame, tile: int = TILE) -> DataFrame:
@@ -89,17 +89,19 @@ def zone_areas(pixels: DataFrame, units: DataFrame, width: float, height: float)
 
 
 def align_layers(pixels: DataFrame, width: float, height: float, lag: int = K.LAG_YEARS,
-                 years: Sequence[int] = ()) -> DataFrame:
+                 years: Sequence[int] | None = None) -> DataFrame:
     """Cover and soil carbon of a year and of `lag` years before, and the earlier burn, per cell.
 
     A pixel of year t serves year t as "now" and year t+lag as "before": one row for each role,
     then a single aggregation per (cell, year) in place of five joins.
     """
     now = F.array(F.lit(0), F.lit(lag))
+    if years is not None:  # years that serve none of the targets are not read
+        pixels = pixels.where(F.col("year").isin(sorted({y - s for y in years for s in (0, lag)})))
     roles = pixels.where(F.col("layer").isin("cover", "soc", "burn")).withColumn(
         "shift", F.explode(F.when(F.col("layer") == "burn", F.array(F.lit(lag))).otherwise(now)))
     roles = roles.withColumn("target", F.col("year") + F.col("shift"))
-    if years:
+    if years is not None:
         roles = roles.where(F.col("target").isin(list(years)))
 
     def slot(layer: str, shift: int) -> Column:

@@ -60,9 +60,9 @@ MASTER_MEASURES = [*MASTER_SUMS, *MASTER_MEANS]
 def trade_links(flows: DataFrame, units: list[int] | None = None, years: list[int] | None = None
                 ) -> DataFrame:
     """Flows summed to trade links, optionally of chosen units and years."""
-    if units:
+    if units is not None:
         flows = flows.where(F.col("municipality_code").isin(units))
-    if years:
+    if years is not None:
         flows = flows.where(F.col("year").isin(years))
     return flows.groupBy(*MASTER_KEYS).agg(
         *[strict_sum(c).alias(c) for c in MASTER_SUMS],

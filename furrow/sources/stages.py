@@ -8,23 +8,18 @@ execution splits. No broadcast is forced.
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
-
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a temporary one only for an unset local session."""
+    """Shared folder named by the session; a local session that names none uses its warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    return _FALLBACK.setdefault(app, tempfile.mkdtemp(prefix="furrow-"))
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:

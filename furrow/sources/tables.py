@@ -58,8 +58,8 @@ def save_pixels(pixels: DataFrame, table: str, path: str, buckets: int) -> DataF
     return pixels.sparkSession.table(table)
 
 
-def read_layer(spark: SparkSession, path: str, layer: str, years: Sequence[int] = ()
+def read_layer(spark: SparkSession, path: str, layer: str, years: Sequence[int] | None = None
                ) -> DataFrame:
     """One layer of a pixel table; folders of other layers and years are not read."""
     pixels = spark.read.schema(SCHEMAS["pixel"]).parquet(path).where(F.col("layer") == layer)
-    return pixels.where(F.col("year").isin(list(years))) if years else pixels
+    return pixels.where(F.col("year").isin(list(years))) if years is not None else pixels

@@ -164,10 +164,10 @@ FROM (SELECT DISTINCT biome, municipality_code FROM origin) b LEFT JOIN (SELECT
     add("M04_factor_draws", _q("factors", lambda f: rounded(M.factor_draws(f, NSIM), factor_columns, 9)), FACTOR_SQL
         + f" SELECT Id_sample, {round_sql(factor_columns, 9)} FROM factor_draw")
     add("M05_study_resample",
-        _q("inventory", lambda v: M.resample_sources(v.where("stage = 'Farming'"), ["region_name", "type_activity_data3"], "lca", NSIM)),
+        _q("inventory", lambda v: M.resample_sources(v, ["region_name", "type_activity_data3"], "lca", NSIM)),
         f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY region_name, type_activity_data3 ORDER BY lca) AS place,
   count(*) OVER (PARTITION BY region_name, type_activity_data3) AS n
-  FROM (SELECT DISTINCT region_name, type_activity_data3, lca FROM inventory WHERE stage = 'Farming')),
+  FROM (SELECT DISTINCT region_name, type_activity_data3, lca FROM inventory)),
 x AS ({D.uniforms('(' + D.samples('p', NSIM) + ')', {'d': D.stream('source', 'region_name', 'type_activity_data3')})})
 SELECT Id_sample, region_name, type_activity_data3, lca FROM x WHERE floor(u_d * n) + 1 = place""")
     both = ["low_ratio", "low_difference", "upper"]

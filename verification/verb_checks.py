@@ -93,17 +93,19 @@ def checks() -> dict:
         "SELECT f.state_code, municipality_code, soy_eq, n FROM flow f LEFT JOIN (SELECT state_code, count(*) AS n FROM flow GROUP BY ALL) g "
         "ON f.state_code IS NOT DISTINCT FROM g.state_code")
     add("V19_right_join",
-        lambda s, d: V.keep_facts(load(s, d, "unit").where("municipality_code % 2 = 0").select("municipality_code", "biome"),
+        lambda s, d: V.keep_facts(load(s, d, "unit").select("municipality_code", "biome"),
                                   load(s, d, "flow").select("municipality_code", "soy_eq"), ["municipality_code"]),
-        "SELECT f.municipality_code, u.biome, f.soy_eq FROM flow f LEFT JOIN unit u ON f.municipality_code = u.municipality_code AND u.municipality_code % 2 = 0")
+        "SELECT f.municipality_code, u.biome, f.soy_eq FROM flow f LEFT JOIN unit u ON f.municipality_code = u.municipality_code")
 
     def sides(s, d):
-        p = load(s, d, "pixel").where("layer = 'soc'")
-        return [p.where(f"year = {y}").select("cell_row", "cell_col", F.col("value").alias(f"v{y}")) for y in (1995, 1998)]
-
-    add("V20_full_join", lambda s, d: V.align(*sides(s, d), ["cell_row", "cell_col"]),
-        "SELECT cell_row, cell_col, a.value AS v1995, b.value AS v1998 FROM (SELECT * FROM pixel WHERE layer = 'soc' AND year = 1995) a "
-        "FULL JOIN (SELECT * FROM pixel WHERE layer = 'soc' AND year = 1998) b USING (cell_row, cell_col)")
+        p = load(s, d, "pixel")
+        keys = ["layer", "year", "cell_row", "cell_col"]
+        return [p.where(where).select(*keys, F.col("value").alias(name))
+                for where, name in (("value > 39", "high"), ("value % 2 = 0", "even"))]
+
+    add("V20_full_join", lambda s, d: V.align(*sides(s, d), ["layer", "year", "cell_row", "cell_col"]),
+        "SELECT layer, year, cell_row, cell_col, CASE WHEN value > 39 THEN value END AS high, "
+        "CASE WHEN value % 2 = 0 THEN value END AS even FROM pixel WHERE value > 39 OR value % 2 = 0")
     add("V21_hash_aggregate", _flow(lambda f: f.groupBy("year", "biome").agg(strict_sum("land_use").alias("strict"), F.sum("land_use").alias("loose"),
                                                                              F.count(F.lit(1)).alias("n"))),
         "SELECT year, biome, CASE WHEN count(*) = count(land_use) THEN sum(land_use) END AS strict, sum(land_use) AS loose, count(*) AS n FROM flow GROUP BY ALL")
@@ -116,13 +118,14 @@ def checks() -> dict:
     add("V24_union", lambda s, d: V.stack([load(s, d, "sea").select("export_port_code1", "distance_km"),
                                            load(s, d, "overland").select("distance_km", F.col("from_id").alias("export_port_code1"))]),
         "SELECT export_port_code1, distance_km FROM sea UNION ALL SELECT from_id, distance_km FROM overland")
-    add("V25_wide_pivot", _flow(lambda f: V.widen(f, ["municipality_code"], "year", {1995: "y1995", 1996: "y1996", 2030: "y2030"}, "soy_eq")),
-        "SELECT municipality_code, sum(soy_eq) FILTER (WHERE year = 1995) AS y1995, sum(soy_eq) FILTER (WHERE year = 1996) AS y1996, "
+    add("V25_wide_pivot", _flow(lambda f: V.widen(f, ["municipality_code"], "year", {y: f"y{y}" for y in (*range(1992, 1999), 2030)}, "soy_eq")),
+        "SELECT municipality_code, " + ", ".join(f"sum(soy_eq) FILTER (WHERE year = {y}) AS y{y}" for y in range(1992, 1999)) + ", "
         "CAST(NULL AS DOUBLE) AS y2030 FROM flow GROUP BY ALL")
     add("V26_unpivot", _q("stock", lambda s: V.lengthen(s, ["Id_sample", "municipality_code", "year"], many, "name", "value")),
         "SELECT Id_sample, municipality_code, year, name, value FROM stock UNPIVOT INCLUDE NULLS (value FOR name IN (area_ha, CO2e_soc, CO2e_bmb, CH4e))")
     add("V27_key_concat_split",
-        _flow(lambda f: V.split_key(f.select("soy_eq", V.join_key("k", ["state_code", "exporter_name", "year"])), "k", ["a", "b", "c"])),
+        _flow(lambda f: f.select("soy_eq", F.split(V.join_key("k", ["state_code", "exporter_name", "year"]), "-").alias("k"))
+              .select("soy_eq", *[F.get("k", F.lit(i)).alias(x) for i, x in enumerate("abc")])),
         "SELECT soy_eq, split_part(k, '-', 1) AS a, split_part(k, '-', 2) AS b, split_part(k, '-', 3) AS c "
         "FROM (SELECT soy_eq, concat_ws('-', coalesce(CAST(state_code AS VARCHAR), 'NA'), exporter_name, CAST(year AS VARCHAR)) AS k FROM flow)")
     add("V28_parallel_explode",

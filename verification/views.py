@@ -349,7 +349,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(text: str) -> str:
     """An oracle query with the views it mentions prepended as common table expressions."""
     used = needed([], text)
-    parts = [f"{name} AS ({VIEWS[name]})" for name in used]
+    parts = [f"{name} AS {'MATERIALIZED ' if name in ('cell', 'pixel') else ''}({VIEWS[name]})" for name in used]
     body = text.strip()
     if body.upper().startswith("WITH "):
         parts.append(body[5:])
