@@ -6,9 +6,11 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from verification.registry import all_checks
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES = {name: query for name, query in queries().items() if name in all_checks()}
+ORACLES = {name: sql for name, sql in oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
