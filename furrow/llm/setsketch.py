@@ -33,6 +33,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 LEAST_ESTIMATE = 0.614
 #: Linked pairs differ in at most so many registers, but for a chance of about 1e-8.
 MOST_DIFFERENT = 101
+#: Words of 64 bits in the bitmap of a set; the bitmap bounds how much two sets can share.
+BITMAP = [f"bits_{i}" for i in range(16)]
 _BATCH_BYTES = 1 << 20
 #: Shingles of a block that a task holds before it sends them.
 HELD_SHINGLES = 2_000_000
@@ -135,6 +137,18 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return (low + high) / 2
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """One bit per item, at its hash modulo the number of bits.
+
+    A bit that only one of two sets has stands for at least one item that the other set lacks, so
+    a set of n items shares at most n less the number of its own such bits. This holds at every
+    size; beyond as many items as bits the bound says little.
+    """
+    bits = np.zeros(64 * len(BITMAP), bool)
+    bits[items % np.uint64(len(bits))] = True
+    return np.packbits(bits).view(np.int64)
+
+
 # --- Spark ---------------------------------------------------------------------------------------
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,19 +269,22 @@ def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame, slim: Data
         left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")), "shared")
     # A link has three quarters of the union in common, so of either set too.
     able = stage(left.join(sizes.where("4 * shared >= 3 * n").select(
-        F.col("id").alias("b"), "shared"), "b"), "able")
+        F.col("id").alias("b"), "shared", *BITMAP), "b"), "able")
     exact = _measured(able.select("a", "b"), source).withColumn(
         "far", 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")))
     able = able.join(exact.select("a", "b", F.col("n_b").alias("n"), "common", "far"), ["a", "b"])
     able = stage(able.join(slim.select(F.col("id").alias("b"), "r"), "b"), "exact")
     outer = able.where("not inner").toDF(*[f"x_{c}" for c in able.columns])
     in_common = "least(common, x_common) + least(shared - common, x_shared - x_common)"
+    lacked = " + ".join(f"bit_count({bits} & ~x_{bits})" for bits in BITMAP)
+    x_lacked = " + ".join(f"bit_count(x_{bits} & ~{bits})" for bits in BITMAP)
     return (able.join(outer, [able.a == outer.x_a, able.label != outer.x_label])
             .where("inner or b < x_b")
             .where("abs(far - x_far) <= 0.25 + 1e-9")
             .where(F.abs(F.col("different") - F.col("x_different")) <= MOST_DIFFERENT)
             .where(f"7 * ({in_common}) >= 3 * (n + x_n)")
             .where("4 * least(n, x_n) >= 3 * greatest(n, x_n)")
+            .where(f"7 * least(n - ({lacked}), x_n - ({x_lacked})) >= 3 * (n + x_n)")
             .select(F.least("b", "x_b").alias("a"), F.greatest("b", "x_b").alias("b"),
                     F.when(able.b < F.col("x_b"), able.n).otherwise(F.col("x_n")).alias("n_a"),
                     F.when(able.b < F.col("x_b"), F.col("x_n")).otherwise(able.n).alias("n_b"),
@@ -276,8 +293,9 @@ def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame, slim: Data
 
 
 def shared_shingles(docs: DataFrame) -> DataFrame:
-    """Of documents (id, text): (id, n, shared), how many shingles a set has, and how many of them
-    another of the sets has too. Blocks ask buckets of shingles, each once."""
+    """Of documents (id, text): (id, n, shared, the bitmap's words), how many shingles a set has,
+    how many of them another of the sets has too, and its bitmap. Blocks ask buckets of shingles,
+    each once."""
     rows = blocks.texts(docs, "id", "text")
     buckets = blocks.bucket_count(docs)
 
@@ -304,13 +322,14 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
                 mine = keys(text or b"")
                 at = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
                 shared = int((known[at] == mine).sum()) if len(known) else 0
-                yield doc_id, len(mine), shared
+                yield doc_id, len(mine), shared, *bitmap(mine).tolist()
 
-    types = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())])
+    columns = ["id", "n", "shared", *BITMAP]
+    types = pa.schema([(name, pa.int64()) for name in columns])
     notes = blocks.ask(rows, lambda batches: blocks.notes(sent(batches)))
     found = blocks.answer(notes, lambda batches: blocks.answers(repeated_keys(batches, 1 << 62)))
     return blocks.use(rows, found, lambda batches: blocks.results(counted(batches), types),
-                      "id long, n long, shared long")
+                      ", ".join(f"{name} long" for name in columns))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

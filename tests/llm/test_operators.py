@@ -417,6 +417,18 @@ def test_chains_between_members_of_one_bucket(spark):
     assert got == {r[0]: r[2] for r in _components(rows)}
 
 
+def test_bitmaps_never_hide_common_items():
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    for size in (0, 1, 40, 900, 5000):
+        a, b = (np.unique(rng.permutation(pool)[:size]) for _ in range(2))
+        x, y = setsketch.bitmap(a), setsketch.bitmap(b)
+        most = min(len(a) - int(np.bitwise_count((x & ~y).view(np.uint64)).sum()),
+                   len(b) - int(np.bitwise_count((y & ~x).view(np.uint64)).sum()))
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+        assert len(x) == len(setsketch.BITMAP)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 2 ** 63, 3000).astype(np.uint64)
