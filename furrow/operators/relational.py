@@ -104,14 +104,16 @@ def nest_samples(df: DataFrame, keys: Sequence[str], values: Sequence[str], n: i
                  ) -> DataFrame:
     """One row per key with its n samples as an array of (Id_sample, values), in sample order.
 
-    A key has at most one row per sample, which bounds the array by n. Samples that a key lacks
-    become null entries, so entry i always belongs to sample i.
+    The array is taken as it is only if its numbers are 1..n; else entry i is sought by its number,
+    and samples that a key lacks become null entries, so entry i always belongs to sample i. Of
+    several rows of one sample the first in order of their values is kept.
     """
     held = df.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("Id_sample", *values))).alias("__held"))
     complete = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(
         F.filter("__held", lambda e: e["Id_sample"] == i), F.lit(0)))
-    return held.select(*keys, F.when(F.size("__held") == n, F.col("__held"))
+    in_place = F.col("__held.Id_sample") == F.sequence(F.lit(1), F.lit(n))
+    return held.select(*keys, F.when(in_place, F.col("__held"))
                        .otherwise(complete).alias(name))
 
 

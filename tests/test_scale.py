@@ -84,6 +84,15 @@ def test_nested_samples_keep_their_place(spark):
                    ("b", 3): 6.0, ("c", 1): None, ("c", 2): None, ("c", 3): None}
 
 
+def test_repeated_samples_do_not_take_the_place_of_lacking_ones(spark):
+    """As many rows as samples, two of them of sample 1: sample 2 stays without a value."""
+    df = spark.createDataFrame([("a", 1, 50.0), ("a", 1, 5.0), ("b", 2, 2.0), ("b", 1, 1.0)],
+                               "k string, Id_sample int, v double")
+    rows = unnest_samples(nest_samples(df, ["k"], ["v"], 2, "held"), {"held": ["v"]}, 2).collect()
+    assert {(r.k, r.Id_sample): r.v for r in rows} == {
+        ("a", 1): 5.0, ("a", 2): None, ("b", 1): 1.0, ("b", 2): 2.0}
+
+
 def test_crop_is_an_equality_join(spark):
     text = plan(S.crop(load(spark, SF_DIR, "cell"), load(spark, SF_DIR, "unit")))
     assert "NestedLoop" not in text and "Cartesian" not in text
