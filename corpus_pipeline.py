@@ -9,7 +9,8 @@ from furrow.llm import byte_cnn, mixing, setsketch, suffix_trees, word_bpe
 from furrow.llm.queries import vocabulary_path
 from furrow.sources.stages import stage
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: mix_position is null until the mixing stage sets it: files may be read in any order.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "mix_position"]
 #: A text whose language is less likely than this is no running text of a known language.
 LEAST_LANGUAGE_SCORE = 0.3
 
@@ -18,12 +19,13 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents in a known language; `lang` becomes the predicted one. Texts without letters, null
     texts and texts without a clear language go. Rows without an id go too: the stages behind name
     documents by their ids, and rows of one id count as copies of which one stays."""
-    docs = docs.select(*COLUMNS).where("doc_id is not null").dropDuplicates(["doc_id"])
+    docs = docs.select(*COLUMNS[:-1]).where("doc_id is not null").dropDuplicates(["doc_id"])
     model = byte_cnn.train(docs)
     known = byte_cnn.predict(docs, model).where(
         (F.col("lang_pred") != byte_cnn.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return (docs.join(known.select("doc_id", "lang_pred"), "doc_id")
-            .withColumn("lang", F.col("lang_pred")).select(*COLUMNS))
+            .withColumn("lang", F.col("lang_pred"))
+            .withColumn("mix_position", F.lit(None).cast("long")).select(*COLUMNS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +43,22 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order in which sources take turns by their weights."""
+    """The documents in the order in which sources take turns by their weights, their places in it
+    as `mix_position`."""
     return mixing.mix(docs).orderBy("mix_position").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the text that they decode to."""
+    """Token ids of each text, the text that they decode to, and the text's place in the mixed
+    order, by which texts are encoded and joined: it is one row's own."""
     path = vocabulary_path()
-    encoded = word_bpe.decode(word_bpe.encode(docs, path), path)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    place = F.coalesce("mix_position", F.raise_error(F.lit("a document has no mix_position")).cast("long"))
+    docs = docs.withColumn("mix_position", place)
+    encoded = word_bpe.encode(docs.select("mix_position", "text"), path, doc_id="mix_position")
+    named = encoded.withColumnRenamed("doc_id", "mix_position").join(
+        docs.select("doc_id", "mix_position"), "mix_position")
+    return word_bpe.decode(named, path, keep=["mix_position"]).select(
+        "doc_id", "mix_position", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from furrow.llm import blocks
 
@@ -154,11 +155,11 @@ def _id_batch(doc_ids: list, ids: list[np.ndarray], types: pa.Schema) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], schema=types)
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame:
     """Adds `decoded`, the text of `ids`: each id is joined with its piece, in order.
 
     The id-to-piece table is the vocabulary, of fixed size, and goes to every worker. A null or
-    empty list gives an empty text. Columns of `encoded` other than doc_id and ids are left out.
+    empty list gives an empty text. Columns of `encoded` other than doc_id, ids and `keep` are left out.
     """
     from tokenizers import Tokenizer
 
@@ -174,11 +175,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             ends = np.asarray(lists.offsets)
             texts = [" ".join(map(piece.__getitem__, values[a:b].tolist()))
                      for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())],
-                                             names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), lists, *batch.columns[2:], pa.array(texts, pa.string())],
+                names=[*batch.schema.names, "decoded"])
 
-    some = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return some.mapInArrow(pieces, "doc_id long, ids array<int>, decoded string")
+    some = encoded.select(F.col("doc_id").cast("long"),
+                          F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), *keep)
+    return some.mapInArrow(pieces, StructType([*some.schema.fields, StructField("decoded", StringType())]))
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -461,3 +461,14 @@ def test_pipeline_of_nothing_and_odd_rows(spark, docs, none):
         for _, step in corpus_pipeline.STAGES:
             frame = step(spark, frame, SF_DIR).persist()
             frame.count()
+
+
+def test_pipeline_returns_the_mixed_order(spark, documents):
+    frame = documents
+    for _, step in corpus_pipeline.STAGES[:3]:
+        frame = step(spark, frame, SF_DIR).persist()
+    want = {r.doc_id: r.mix_position for r in mixing.mix(frame).select("doc_id", "mix_position").collect()}
+    got = {r.doc_id: r.mix_position for r in corpus_pipeline.run(spark, SF_DIR).collect()}
+    assert got == want and sorted(want, key=want.get) != sorted(want)
+    with pytest.raises(Exception, match="no mix_position"):
+        corpus_pipeline.encode(spark, frame, SF_DIR).collect()
