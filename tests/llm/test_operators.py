@@ -366,6 +366,40 @@ def test_mixing_follows_weights(spark, docs, none, weights):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("blocks, weights", [
+    ({"a": 1336, "b": 2664}, {"a": 0.334, "b": 0.666}),
+    ({"a": 900, "b": 900, "c": 3}, {"a": 0.5, "b": 0.499, "c": 0.001}),
+    ({f"s{i:03d}": 4 + i % 5 for i in range(130)}, {f"s{i:03d}": 1 + i % 7 for i in range(130)}),
+    ({"a": 40, "b": 30, "unnamed": 5}, {"a": 1, "b": 2}),
+])
+def test_mixing_stays_within_a_block_of_given_weights(spark, blocks, weights):
+    rows = [(i, k) for k, n in blocks.items() for i in range(n)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=1)
+    order = [r.source for r in mixed.orderBy("mix_slot").collect()]
+    assert collections.Counter(order) == blocks
+    done, base, begin = collections.Counter(), collections.Counter(), 0
+    for t, name in enumerate(order, 1):
+        last = {k for k in blocks if base[k] < blocks[k]}
+        weight = {k: weights.get(k, 0) for k in last}
+        if not any(weight.values()):
+            weight = dict.fromkeys(last, 1)
+        done[name] += 1
+        for k in last:
+            target = base[k] + weight[k] / sum(weight.values()) * (t - begin)
+            assert abs(done[k] - target) < 1 + 1e-6
+        if done[name] == blocks[name]:
+            base, begin = done.copy(), t
+
+
+def test_reported_weights_are_the_targets(spark):
+    rows = [(i, "a" if i < 9000 else "b" if i < 9100 else "c") for i in range(9101)]
+    got = {r.source: r.target_weight for r in mixing.report(
+        spark.createDataFrame(rows, "doc_id long, source string")).select("source", "target_weight")
+        .distinct().collect()}
+    roots = {"a": 9000 ** 0.5, "b": 10, "c": 1}
+    assert got == {k: pytest.approx(v / sum(roots.values()), abs=1e-8) for k, v in roots.items()}
+
+
 # --- near duplicates -----------------------------------------------------------------------------
 
 def _components(rows):
