@@ -1,7 +1,7 @@
 """Licences by sentence rules.
 
-A text's sentences are normalised and looked up among known licence sentences; the identifiers of
-adjacent known sentences form sequences, and ordered rules take licences out of these sequences,
+A text is normalised and known licence sentences are found in it, over any line breaks, comment marks
+and stops inside them; the identifiers of adjacent known sentences form sequences, and ordered rules take licences out of these sequences,
 the most specific rule first.
 """
 
@@ -44,6 +44,7 @@ SENTENCES = {
     "you may not use this file except in compliance with the license": "ApacheUse",
     "you may obtain a copy of the license at": "ApacheCopy",
     "http www apache org licenses license 2 0": "ApacheUrl",
+    "https www apache org licenses license 2 0": "ApacheUrl",
     "see the license for the specific language governing permissions and limitations under the "
     "license": "ApacheSee",
     "licensed under cc by nc 4 0": "CcByNc4",
@@ -86,14 +87,34 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = "\x01"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: they end at . ; : ! ? before white space, and at a line's end unless
-    the next line goes on with a small letter; only a-z and 0-9 stay, in words."""
-    marked = F.regexp_replace(text, r"([.;:!?])[ \t\n\r\f]+", f"$1{_BREAK}")
-    marked = F.regexp_replace(marked, r"\n[ \t\n\r\f]*([^a-z \t\n\r\f])", f"{_BREAK}$1")
-    lower = F.translate(marked, _UPPER, _LOWER)
+_SPACE = r"[ \t\n\r\f]"
+#: First words of the longer sentences: with a capital they begin a sentence without a stop before,
+#: as behind the copyright line of a text that stands on one line.
+_HEADS = "|".join(sorted({" ".join(x.capitalize().split(" ")[:2]) for x in SENTENCES
+                          if x.count(" ") >= 7 and not x.startswith("http")}))
+
+
+def _pattern(sentence: str) -> str:
+    """The sentence's words from one boundary to the next, whatever boundaries lie among them."""
+    return f"[ {_BREAK}]+".join(sentence.split(" "))
+
+
+def marked(text: Column) -> Column:
+    """The text in words of a-z and 0-9, with a mark at each place where a sentence may begin or end:
+    . ; : ! ? before white space, a line's end unless the next line goes on with a small letter,
+    before the capital of a longer sentence's first words, both ends of an address, both sides of a
+    list number."""
+    out = F.regexp_replace(text, f"([.;:!?]){_SPACE}+", f"$1{_BREAK}")
+    out = F.regexp_replace(out, rf"\n{_SPACE}*([^a-z \t\n\r\f])", f"{_BREAK}$1")
+    out = F.regexp_replace(out, f"{_SPACE}({_HEADS}) ", f"{_BREAK}$1 ")
+    out = F.regexp_replace(out, rf"(https?://[^ \t\n\r\f{_BREAK}]+)", f"{_BREAK}$1{_BREAK}")
+    # a list number, behind comment marks or none, is no word of the sentence that it leads in
+    out = F.regexp_replace(out, rf"(^|\n|{_BREAK})([^a-zA-Z0-9\n{_BREAK}]*)(?:[0-9]{{1,3}}|[a-zA-Z])"
+                                rf"[.)](?:{_SPACE}|{_BREAK})+", f"$1$2{_BREAK}")
+    lower = F.translate(out, _UPPER, _LOWER)
     plain = F.regexp_replace(lower, f"[^a-z0-9{_BREAK}]+", " ")
-    return F.split(F.regexp_replace(plain, f" *{_BREAK} *", _BREAK), _BREAK)
+    plain = F.concat(F.lit(_BREAK), plain, F.lit(_BREAK))
+    return F.regexp_replace(plain, f"[ {_BREAK}]*{_BREAK}[ {_BREAK}]*", _BREAK)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -102,13 +123,19 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     `licenses`: what the rules found, in the rules' order, joined by commas; `unmatched`:
     identifiers that no rule took. A null or empty text has no sentence and gives no row. Rows of
     one id count as one document whose sentences interleave by place; rows without an id count as
-    one too. Other columns are left out.
+    one too. Sentences without a letter do not part adjacent ones. Other columns are left out.
     """
-    known = docs.sparkSession.createDataFrame(list(SENTENCES.items()), "sentence string, ident string")
-    found = docs.select(docs[doc_id].alias("doc_id"),
-                        F.posexplode(sentences(docs[text].cast("string"))).alias("place", "s"))
-    hits = (found.select("doc_id", "place", F.trim("s").alias("sentence"))
-            .join(F.broadcast(known), "sentence"))  # a fixed table of a few kilobytes
+    longest_first = sorted(SENTENCES, key=lambda x: (-len(x), x))
+    some = f"{_BREAK}(?:{'|'.join(map(_pattern, longest_first))}){_BREAK}"
+    found = docs.select(docs[doc_id].alias("doc_id"), marked(docs[text].cast("string")).alias("t"))
+    found = found.where(F.col("t").rlike(some))
+    t = F.col("t")
+    for sentence in longest_first:  # few documents are left here; identifiers have capitals, words none
+        t = F.regexp_replace(t, f"{_BREAK}{_pattern(sentence)}(?={_BREAK})",
+                             f"{_BREAK}@{SENTENCES[sentence]}")
+    parts = F.filter(F.split(t, _BREAK), lambda x: x.rlike("[a-z]"))
+    hits = (found.select("doc_id", F.posexplode(parts).alias("place", "s")).where("s like '@%'")
+            .select("doc_id", "place", F.substring("s", 2, 99).alias("ident")))
     return _rules(hits.groupBy("doc_id").agg(
         F.count("*").alias("n_sentences"),
         F.array_sort(F.collect_list(F.struct("place", "ident"))).alias("hits")))
