@@ -9,43 +9,56 @@ from furrow.llm import byte_cnn, mixing, setsketch, suffix_trees, word_bpe
 from furrow.llm.queries import vocabulary_path
 from furrow.sources.stages import stage
 
+#: row_key names a row in all stages: ids may be null or repeated.
 #: mix_position is null until the mixing stage sets it: files may be read in any order.
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "mix_position"]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "row_key", "mix_position"]
 #: A text whose language is less likely than this is no running text of a known language.
 LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; `lang` becomes the predicted one. Texts without letters, null
-    texts and texts without a clear language go. Rows without an id go too: the stages behind name
-    documents by their ids, and rows of one id count as copies of which one stays."""
-    docs = docs.select(*COLUMNS[:-1]).where("doc_id is not null").dropDuplicates(["doc_id"])
+    """Rows in a known language, each judged by its own text; `lang` becomes the predicted one. Texts
+    without letters, null texts and texts without a clear language go.
+
+    `row_key` is the id; further rows of an id and rows without one get keys behind all ids."""
+    docs = docs.select(F.col("doc_id").cast("long"), *COLUMNS[1:5])
     model = byte_cnn.train(docs)
-    known = byte_cnn.predict(docs, model).where(
+    known = byte_cnn.predict(docs, model, keep=["text", "source", "n_chars"]).where(
         (F.col("lang_pred") != byte_cnn.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return (docs.join(known.select("doc_id", "lang_pred"), "doc_id")
-            .withColumn("lang", F.col("lang_pred"))
+    known = stage(known.withColumn("row", F.monotonically_increasing_id()), "languages")
+    named = known.where("doc_id is not null")
+    repeated = stage(named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+                     .where("n > 1").select("doc_id", "first"), "repeated-ids")
+    most = named.agg(F.max("doc_id")).first()[0]
+    behind = F.lit(max(0, -1 if most is None else most) + 1).cast("long") + F.col("row")
+    own = F.coalesce(F.col("first") == F.col("row"), F.lit(True))
+    keyed = (named.join(repeated, "doc_id", "left")
+             .withColumn("row_key", F.when(own, F.col("doc_id")).otherwise(behind)).drop("first")
+             .unionByName(known.where("doc_id is null").withColumn("row_key", behind)))
+    return (keyed.withColumn("lang", F.col("lang_pred"))
             .withColumn("mix_position", F.lit(None).cast("long")).select(*COLUMNS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    kept = setsketch.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The document with the smallest key of each group of near duplicates."""
+    kept = setsketch.near_duplicates(docs, doc_id="row_key").where("kept").select(
+        F.col("doc_id").alias("row_key"))
+    return docs.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand earlier; documents of which nothing is left go."""
-    cut = suffix_trees.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words").select(
-        "doc_id", F.col("text").alias("left_text"))
-    return (docs.join(cut, "doc_id").withColumn("text", F.col("left_text"))
+    cut = suffix_trees.remove_repeats(docs, doc_id="row_key").where(
+        "n_removed = 0 or n_removed < n_words").select(
+        F.col("doc_id").alias("row_key"), F.col("text").alias("left_text"))
+    return (docs.join(cut, "row_key").withColumn("text", F.col("left_text"))
             .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order in which sources take turns by their weights, their places in it
     as `mix_position`."""
-    return mixing.mix(docs).orderBy("mix_position").select(*COLUMNS)
+    return mixing.mix(docs, doc_id="row_key").orderBy("mix_position").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

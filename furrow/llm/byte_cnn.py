@@ -7,12 +7,14 @@ of every whole text; a text's probabilities are the means over its windows, by t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -159,25 +161,28 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: st
 
 
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id",
-            text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row, from all windows of its whole text.
+            text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, *keep) of every row, from all windows of its whole text.
 
     `score` is the probability of the predicted label. A null text, one without a letter and any
-    text without a model are UNKNOWN with score 0. Rows are kept one by one; other columns are left
-    out. The model is a few kilobytes and travels with the task.
+    text without a model are UNKNOWN with score 0. Rows are kept one by one; columns not
+    named by `keep` are left out. The model is a few kilobytes and travels with the task.
     """
     def step(batches):
         for batch in batches:
-            yield _predicted(batch, model)
+            yield _predicted(batch, model, keep)
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"),
                        docs[text].cast("string").alias("t"),
-                       F.coalesce(docs[text].cast("string").rlike(r"\p{L}"), F.lit(False)).alias("ok"))
-    return rows.mapInArrow(step, "doc_id long, lang_pred string, score double")
+                       F.coalesce(docs[text].cast("string").rlike(r"\p{L}"), F.lit(False)).alias("ok"),
+                       *[docs[c].alias(f"keep{i}") for i, c in enumerate(keep)])
+    found = StructType.fromDDL("doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(step, StructType(
+        found.fields + [StructField(c, docs.schema[c].dataType) for c in keep]))
 
 
-def _predicted(batch: pa.RecordBatch, model: Model | None) -> pa.RecordBatch:
-    ids, texts, letters = batch.columns
+def _predicted(batch: pa.RecordBatch, model: Model | None, keep: Sequence[str] = ()) -> pa.RecordBatch:
+    ids, texts, letters, *others = batch.columns
     n = batch.num_rows
     labels, scores = [UNKNOWN] * n, np.zeros(n)
     held, size = [], 0
@@ -205,8 +210,9 @@ def _predicted(batch: pa.RecordBatch, model: Model | None) -> pa.RecordBatch:
                 held, size = [], 0
         if held:
             settle()
-    return pa.RecordBatch.from_arrays([ids, pa.array(labels, pa.string()), pa.array(scores)],
-                                      names=["doc_id", "lang_pred", "score"])
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(labels, pa.string()), pa.array(scores), *others],
+        names=["doc_id", "lang_pred", "score", *keep])
 
 
 def held_out(doc_id):

@@ -584,3 +584,26 @@ def test_pipeline_returns_the_mixed_order(spark, documents):
     assert got == want and sorted(want, key=want.get) != sorted(want)
     with pytest.raises(Exception, match="no mix_position"):
         corpus_pipeline.encode(spark, frame, SF_DIR).collect()
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, documents):
+    texts = [r for r in documents.orderBy("doc_id").limit(90).collect()]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(len(texts))]
+    frame = spark.createDataFrame(
+        [(k, r.text, r.lang, r.source, r.n_chars) for k, r in zip(ids, texts)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    known = byte_cnn.predict(frame, byte_cnn.train(frame), keep=["text"]).where("lang_pred != 'und'")
+    want = collections.Counter((r.doc_id, r.text) for r in known.collect())
+    frame = corpus_pipeline.identify_languages(spark, frame, SF_DIR).persist()
+    rows = frame.collect()
+    assert collections.Counter((r.doc_id, r.text) for r in rows) == want
+    assert len({r.row_key for r in rows}) == len(rows) > 60 and sum(r.row_key == 7 for r in rows) == 1
+    kept = {r[0] for r in _components(sorted((r.row_key, r.text) for r in rows)) if r[3]}
+    frame = corpus_pipeline.drop_near_duplicates(spark, frame, SF_DIR).persist()
+    assert sorted(r.row_key for r in frame.collect()) == sorted(kept)
+    for _, step in corpus_pipeline.STAGES[2:4]:
+        frame = step(spark, frame, SF_DIR).persist()
+    left = collections.Counter(r.doc_id for r in frame.collect())
+    assert left[None] > 10 and left[7] > 10
+    done = corpus_pipeline.encode(spark, frame, SF_DIR).collect()
+    assert collections.Counter(r.doc_id for r in done) == left
