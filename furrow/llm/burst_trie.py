@@ -34,7 +34,7 @@ HASH, WIDTH = 16, 20
 #: Bytes of entries in a container; beyond, it bursts.
 BURST_BYTES = 1 << 20
 #: Conversations of 2^BLOCK_BITS groups of GROUP following ids are rebuilt by one task, in order of id.
-BLOCK_BITS, GROUP = 10, 5
+BLOCK_BITS, GROUP = 6, 5
 #: Members packed into one entry at most.
 PACKED_MEMBERS = 1 << 16
 #: A conversation takes at most LONGEST_HEAD - 1 turns from the first of its group.
