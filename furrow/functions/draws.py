@@ -2,7 +2,8 @@
 
 A draw is a pure function of its key, so it does not change with partitioning, task retries or
 executor loss, and samples need no shuffle or join to be generated. The text key is hashed once
-per row (`stream`); the per-sample part is 32-bit integer arithmetic that stays in generated code.
+per row to 64 bits (`stream`); the per-sample part mixes both halves of them with the sample number,
+in 32-bit integer arithmetic that stays in generated code.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ SPAN = 4294967296.0
 
 
 def stream(variable: str, *keys: Column | str, seed: int = SEED) -> Column:
-    """32-bit stream id of one variable of one row; leave the keys out for common numbers."""
+    """64-bit stream id of one variable of one row; leave the keys out for common numbers."""
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(variable),
                        *[F.coalesce(as_col(k).cast("string"), F.lit("~")) for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    high, low = (F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("bigint") for at in (1, 9))
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
 
 def noise(sample: Column | str) -> Column:
@@ -38,11 +40,14 @@ def noise(sample: Column | str) -> Column:
 
 def uniform(stream_id: Column | str, sample_noise: Column | str) -> Column:
     """Uniform number in (0, 1) of a stream and a sample."""
-    x = as_col(stream_id).bitwiseXOR(as_col(sample_noise))
+    low = as_col(stream_id).bitwiseAND(F.lit(MASK))
+    x = low.bitwiseXOR(as_col(sample_noise))
     x = (x * F.lit(MUL_A).cast("bigint")).bitwiseAND(F.lit(MASK))
-    x = x.bitwiseXOR(F.shiftright(x, 15))
+    x = x.bitwiseXOR(F.shiftright(x, 15)).bitwiseXOR(F.shiftrightunsigned(as_col(stream_id), 32))
     x = (x * F.lit(MUL_B).cast("bigint")).bitwiseAND(F.lit(MASK))
     x = x.bitwiseXOR(F.shiftright(x, 16))
+    x = (x * F.lit(MUL_A).cast("bigint")).bitwiseAND(F.lit(MASK))
+    x = x.bitwiseXOR(F.shiftright(x, 15))
     return (x.cast("double") + F.lit(0.5)) / F.lit(SPAN)
 
 

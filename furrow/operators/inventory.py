@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from furrow import constants as K
 from furrow.functions.draws import noise, stream, triangular, uniform
 from furrow.functions.nulls import as_col, strict_sum, zero_fill
-from furrow.operators.relational import (attach, expand_samples, join_key, lengthen, split_key,
-                                         stack)
+from furrow.operators.relational import (attach, expand_samples, join_key, lengthen, stack)
 from furrow.operators.sampling import bounds_from_sd, factor_draws, number_sources
 from furrow.sources.stages import stage
 
@@ -50,9 +49,15 @@ def aggregate_inventory(inventory: DataFrame, scope: Scope) -> DataFrame:
 
 
 def identify(rows: DataFrame, scope: Scope) -> DataFrame:
-    """Composite ids, the number `n` of studies per id and each study's place among them."""
+    """Composite ids, the number `n` of studies per id and each study's place among them.
+
+    The ids are for output; the texts they are made of stay beside them, so no name is ever
+    parsed back out of an id.
+    """
+    texts = [F.coalesce(as_col(k).cast("string"), F.lit("NA")).alias(p)
+             for k, p in zip([*scope.keys, "key_sim"], scope.parts)]
     rows = rows.withColumns({"id_sim": join_key("id_sim", [*scope.keys, "key_sim"]),
-                             "id_sim1": join_key("id_sim1", scope.keys)})
+                             "id_sim1": join_key("id_sim1", scope.keys), CARRIED: F.struct(*texts)})
     studies = stage(number_sources(rows, ["id_sim1"], "lca"), "studies")
     return attach(rows, studies, ["id_sim1", "lca"])
 
@@ -83,6 +88,8 @@ def sample_studies(rows: DataFrame, n: int) -> DataFrame:
 
 
 OUT = ["Id_sample", "id_sim1", "id_sim", "lca", "key_sim", "n", "titem", "recommended_value"]
+#: What a composite id is made of, carried beside it.
+CARRIED = "__parts"
 
 
 def assemble(rows: DataFrame, scope: Scope, n: int, rule: str = "ratio") -> DataFrame:
@@ -95,12 +102,13 @@ def assemble(rows: DataFrame, scope: Scope, n: int, rule: str = "ratio") -> Data
     draw = triangular(uniform("__draw", noise("Id_sample")), "low", "recommended_value", "high")
     value = F.when(F.col("titem").isin(list(scope.drawn)), draw) \
         .otherwise(F.col("recommended_value"))
-    return sampled.withColumn("recommended_value", value).select(*OUT)
+    return sampled.withColumn("recommended_value", value).select(*OUT, CARRIED)
 
 
 def split_activity(rows: DataFrame, scope: Scope) -> DataFrame:
-    """Scope, activity and flow name out of the composite id."""
-    return split_key(rows, "id_sim", scope.parts).drop("id_sim1")
+    """Scope, activity and flow name in place of the composite id they went into."""
+    return rows.withColumns({p: F.col(f"{CARRIED}.{p}") for p in scope.parts}).drop(
+        "id_sim", "id_sim1", CARRIED)
 
 
 def field_rows(rows: DataFrame) -> DataFrame:

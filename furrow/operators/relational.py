@@ -76,7 +76,8 @@ def join_key(name: str, parts: Sequence[str]) -> Column:
 
 
 def split_key(df: DataFrame, key: str, parts: Sequence[str]) -> DataFrame:
-    pieces = F.split(as_col(key), "-")
+    """Parts of a composite key; the last one keeps any separators of its own."""
+    pieces = F.split(as_col(key), "-", len(parts))
     return df.withColumns({p: F.get(pieces, F.lit(i)) for i, p in enumerate(parts)}).drop(key)
 
 
@@ -102,34 +103,45 @@ def spread(df: DataFrame, keys: Sequence[str], factor: int) -> DataFrame:
 
 def nest_samples(df: DataFrame, keys: Sequence[str], values: Sequence[str], n: int, name: str
                  ) -> DataFrame:
-    """One row per key with its n samples as an array of (Id_sample, values), in sample order.
+    """One row per key with an array of n entries; entry i lists all rows (values) of sample i.
 
-    The array is taken as it is only if its numbers are 1..n; else entry i is sought by its number,
-    and samples that a key lacks become null entries, so entry i always belongs to sample i. Of
-    several rows of one sample the first in order of their values is kept.
+    A sample without rows has an empty list, repeated rows of a sample stay repeated. A sample
+    number outside 1..n is an error.
     """
-    held = df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("Id_sample", *values))).alias("__held"))
-    complete = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(
-        F.filter("__held", lambda e: e["Id_sample"] == i), F.lit(0)))
-    in_place = F.col("__held.Id_sample") == F.sequence(F.lit(1), F.lit(n))
-    return held.select(*keys, F.when(in_place, F.col("__held"))
-                       .otherwise(complete).alias(name))
+    number = F.col("Id_sample")
+    checked = F.when(number.between(1, n), number).otherwise(F.raise_error(F.concat(
+        F.lit(f"{name}: sample outside 1..{n}: "), F.coalesce(number.cast("string"), F.lit("null"))))).cast("int")
+    lists = df.select(*keys, checked.alias("__i"), F.struct(*values).alias("__row")).groupBy(*keys, "__i").agg(
+        F.collect_list("__row").alias("rows"))
+    held = lists.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "rows"))).alias("__held"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_position(F.col("__held.__i"), i))
+    gaps = F.transform(at, lambda j: F.coalesce(
+        F.get(F.col("__held.rows"), (j - 1).cast("int")), F.array().cast(lists.schema["rows"].dataType)))
+    return held.select(*keys, F.when(F.size("__held") == n, F.col("__held.rows")).otherwise(gaps).alias(name))
 
 
 def unnest_samples(df: DataFrame, nested: dict[str, Sequence[str]], n: int) -> DataFrame:
-    """Every row once per sample, with the sample's values out of each nested array.
+    """Every row once per sample and combination of the sample's rows in each nested array.
 
-    The arrays are zipped and the zipped array is what explodes, so an exploded row carries one
-    entry of each array and never the arrays. A missing array gives missing values.
+    That is what left joins by key and sample would return one after another: a missing array and
+    an empty list give missing values, a list of several rows repeats the row. The arrays are
+    zipped and the zipped array is what explodes, so an exploded row carries one entry of each
+    array and never the arrays.
     """
     types = dict(df.dtypes)
-    arrays = [F.coalesce(F.slice(F.col(name), 1, n), F.array().cast(types[name])).alias(name)
-              for name in nested]
+    arrays = [F.coalesce(F.col(name), F.array().cast(types[name])).alias(name) for name in nested]
     numbers = F.sequence(F.lit(1), F.lit(n)).alias("Id_sample")
     rows = df.withColumn("__entry", F.explode(F.arrays_zip(numbers, *arrays))).drop(*nested)
-    picked = {v: F.col(f"__entry.{name}.{v}") for name, values in nested.items() for v in values}
-    return rows.withColumns({"Id_sample": F.col("__entry.Id_sample")} | picked).drop("__entry")
+    counts = [F.greatest(F.coalesce(F.size(F.col(f"__entry.{name}")), F.lit(0)), F.lit(1)) for name in nested]
+    if nested:
+        combinations = reduce(lambda a, b: a * b, counts)
+        rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), combinations - 1)))
+    picked, left = {}, F.col("__k")
+    for (name, values), count in zip(nested.items(), counts):
+        entry = F.get(F.col(f"__entry.{name}"), (left % count).cast("int"))
+        picked |= {v: entry[v] for v in values}
+        left = F.floor(left / count)
+    return rows.withColumns({"Id_sample": F.col("__entry.Id_sample")} | picked).drop("__entry", "__k")
 
 
 def share_of_total(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:

@@ -6,8 +6,10 @@ MASK, WEYL, MUL_A, MUL_B = 4294967295, 0x1E3779B1, 0x7FEB352D, 0x2C1B3C6D
 
 
 def stream(variable: str, *keys: str) -> str:
+    """Both halves of the 64 bits, so that no step leaves the range of a BIGINT."""
     parts = ", ".join(["'2025'", f"'{variable}'", *[f"coalesce(CAST({k} AS VARCHAR), '~')" for k in keys]])
-    return f"CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 8) AS BIGINT)"
+    halves = [f"CAST('0x' || substr(md5(concat_ws('|', {parts})), {at}, 8) AS BIGINT)" for at in (1, 9)]
+    return f"{{'h': {halves[0]}, 'l': {halves[1]}}}"
 
 
 def uniforms(source: str, streams: dict[str, str], sample: str = "Id_sample") -> str:
@@ -16,15 +18,17 @@ def uniforms(source: str, streams: dict[str, str], sample: str = "Id_sample") ->
         return ", ".join(fmt.format(n=n) for n in streams)
 
     text = f"SELECT *, (CAST({sample} AS BIGINT) * {WEYL}) & {MASK} AS nz, " \
-        + ", ".join(f"{expr} AS u_{n}" for n, expr in streams.items()) + f" FROM {source}"
+        + ", ".join(f"{expr} AS s_{n}" for n, expr in streams.items()) + f" FROM {source}"
     text = f"SELECT * REPLACE (xor(nz, nz >> 16) AS nz) FROM ({text})"
     text = f"SELECT * REPLACE ((nz * {MUL_A}) & {MASK} AS nz) FROM ({text})"
     text = f"SELECT * REPLACE (xor(nz, nz >> 15) AS nz) FROM ({text})"
-    text = f"SELECT * REPLACE ({each(f'(xor(u_{{n}}, nz) * {MUL_A}) & {MASK} AS u_{{n}}')}) FROM ({text})"
-    text = f"SELECT * REPLACE ({each('xor(u_{n}, u_{n} >> 15) AS u_{n}')}) FROM ({text})"
+    text = f"SELECT *, {each(f'(xor(s_{{n}}.l, nz) * {MUL_A}) & {MASK} AS u_{{n}}')} FROM ({text})"
+    text = f"SELECT * EXCLUDE (nz, {each('s_{n}')}) REPLACE ({each('xor(xor(u_{n}, u_{n} >> 15), s_{n}.h) AS u_{n}')}) FROM ({text})"
     text = f"SELECT * REPLACE ({each(f'(u_{{n}} * {MUL_B}) & {MASK} AS u_{{n}}')}) FROM ({text})"
     text = f"SELECT * REPLACE ({each('xor(u_{n}, u_{n} >> 16) AS u_{n}')}) FROM ({text})"
-    return f"SELECT * EXCLUDE (nz) REPLACE ({each('(u_{n} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u_{n}')}) FROM ({text})"
+    text = f"SELECT * REPLACE ({each(f'(u_{{n}} * {MUL_A}) & {MASK} AS u_{{n}}')}) FROM ({text})"
+    text = f"SELECT * REPLACE ({each('xor(u_{n}, u_{n} >> 15) AS u_{n}')}) FROM ({text})"
+    return f"SELECT * REPLACE ({each('(u_{n} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u_{n}')}) FROM ({text})"
 
 
 def triangular(u: str, low: str, mode: str, high: str) -> str:

@@ -196,7 +196,7 @@ def field_cte(tag: str) -> str:
     rest = ", ".join(f"""CASE WHEN d THEN v * "fuel_{s}" ELSE 0 END AS "{s}\"""" for s in ["CO2_b", "CO", "SO2", "NMVOC", "PM2.5"])
     return inventory_cte(tag) + f""",
 act_{tag} AS (SELECT Id_sample, lca, key_sim, n, titem, recommended_value, split_part(id_sim, '-', 1) AS {place},
-  split_part(id_sim, '-', 2) AS type_activity_data2, split_part(id_sim, '-', 3) AS activity_data1 FROM full_{tag}),
+  split_part(id_sim, '-', 2) AS type_activity_data2, key_sim AS activity_data1 FROM full_{tag}),
 fact_{tag} AS (SELECT a.*, s.* EXCLUDE (Id_sample), coalesce(c.N_content, 0) AS N_content, coalesce(c.C_content, 0) AS C_content
   FROM act_{tag} a LEFT JOIN site s ON a.Id_sample = s.Id_sample LEFT JOIN content c ON a.activity_data1 = c.activity_data1
   WHERE type_activity_data2 IN ('fertiliser', 'soil_correctors', 'machinery')),
@@ -224,6 +224,10 @@ def _assembled(s, d, tag):
     return L.assemble(_prepared(s, d, tag), SCOPES[tag][0], N)
 
 
+def _shown(s, d, tag):
+    return _assembled(s, d, tag).select(*L.OUT)
+
+
 def _active(s, d, tag):
     return L.split_activity(_assembled(s, d, tag), SCOPES[tag][0])
 
@@ -272,7 +276,7 @@ KEY = ", ".join(I.MASTER_KEYS)
 LINKS = f"links AS (SELECT {KEY}, " + ", ".join(f"{_strict(c)} AS {c}" for c in I.MASTER_SUMS) + ", " + ", ".join(
     f"CASE WHEN count(*) = count({c}) THEN avg({c}) END AS {o}" for o, c in I.MASTER_MEANS.items()) + " FROM trade GROUP BY ALL)"
 CATALOGUE = BACKGROUND + ", catalogue AS (SELECT DISTINCT method, damage, impact_category, unit_impact FROM background)"
-MATRIX = CATALOGUE + "," + LINKS + ", pairs AS (SELECT * FROM links, catalogue), matrix AS (" + R.samples("pairs", 2) + ")"
+MATRIX = CATALOGUE + "," + LINKS + ", pairs AS (SELECT * FROM links, catalogue), matrix AS (" + R.samples("pairs", N) + ")"
 
 
 def farm_cte(tag: str, substances) -> str:
@@ -310,7 +314,7 @@ def _matrix(s, d):
 
 
 def _master(s, d):
-    return I.master_matrix(_matrix(s, d), 2)
+    return I.master_matrix(_matrix(s, d), N)
 
 
 def _distances(s, d):
@@ -450,7 +454,7 @@ def checks() -> dict:
         add(f"L04_study_resample_{tag}",
             lambda s, d, tag=tag: L.sample_studies(_prepared(s, d, tag), N).select("Id_sample", "id_sim", "lca", "titem", "recommended_value"),
             f"WITH {inventory_cte(tag)} SELECT Id_sample, id_sim, lca, titem, recommended_value FROM pick_{tag}")
-        add(f"L05_assembly_{tag}", lambda s, d, tag=tag: rounded(_assembled(s, d, tag), ["recommended_value"]),
+        add(f"L05_assembly_{tag}", lambda s, d, tag=tag: rounded(_shown(s, d, tag), ["recommended_value"]),
             f"WITH {inventory_cte(tag)} SELECT Id_sample, id_sim1, id_sim, lca, key_sim, n, titem, {round_sql(['recommended_value'])} FROM full_{tag}")
     for tag in ["state", "region"]:
         place = SCOPES[tag][0].parts[0]
@@ -491,7 +495,7 @@ def checks() -> dict:
     mkeys = ["Id_sample", "municipality_code", "export_port_code1", "import_country_name", "year", "impact_category", "damage", "unit_impact"]
     stressed = ["i_land_occupation", "i_land_transformation"]
     add("I05_land_stress",
-        lambda s, d: rounded(I.master_matrix(I.attach_land_stress(_matrix(s, d), B.adjust_double_cropping(_stress(s, d)), N), 2).select(*mkeys, *stressed), stressed, 5),
+        lambda s, d: rounded(I.master_matrix(I.attach_land_stress(_matrix(s, d), B.adjust_double_cropping(_stress(s, d)), N), N).select(*mkeys, *stressed), stressed, 5),
         f"WITH {MATRIX},{STRESS} SELECT {', '.join('m.' + k for k in mkeys)}, round(s.cf_occ_glo, 5) AS i_land_occupation, "
         "round(s.cf_tra_glo * s.double_cropping_share * 0.5 + s.cf_tra_glo * (1 - s.double_cropping_share), 5) AS i_land_transformation "
         "FROM matrix m LEFT JOIN stress s ON m.Id_sample = s.Id_sample AND m.region_name = s.region_name AND m.state_code = s.state_code "
@@ -500,7 +504,7 @@ def checks() -> dict:
     carbon = ["i_luclu_above_biomass", "i_luclu_soc"]
     add("I06_carbon_impact",
         lambda s, d: rounded(I.master_matrix(I.attach_carbon(_matrix(s, d), I.carbon_stock_impacts(E.emissions_by_substance(
-            E.fill_emissions(_placed(s, d))), load(s, d, "cf")), N), 2).fillna(0).select(*mkeys, *carbon), carbon, 9),
+            E.fill_emissions(_placed(s, d))), load(s, d, "cf")), N), N).fillna(0).select(*mkeys, *carbon), carbon, 9),
         f"""WITH {MATRIX},{ORIGINS},{CARBON_FILL},{LONG},{CF}, k AS (SELECT Id_sample, municipality_code, year, damage, impact_category, unit_impact,
   sum(value_emission * value) FILTER (WHERE subc1 = 'ibmb') AS a, sum(value_emission * value) FILTER (WHERE subc1 = 'iSOC') AS b
   FROM long JOIN cfs USING (substance_ac) GROUP BY ALL)
@@ -518,7 +522,7 @@ FROM matrix m LEFT JOIN k ON m.Id_sample = k.Id_sample AND m.municipality_code =
     both = f"WITH {FUEL},{MATRIX},{CF},{farm_cte('state', SCOPES['state'][0].substances)},{farm_cte('region', SCOPES['region'][0].substances)}"
     same = " AND ".join(f"m.{k} = {{t}}.{k}" for k in ["Id_sample", "method", "impact_category", "unit_impact", "damage"])
     add("I10_scope_selection",
-        lambda s, d: rounded(I.master_matrix(I.attach_farming(_matrix(s, d), _farm(s, d, "state"), _farm(s, d, "region"), N), 2)
+        lambda s, d: rounded(I.master_matrix(I.attach_farming(_matrix(s, d), _farm(s, d, "state"), _farm(s, d, "region"), N), N)
                              .select(*mkeys, *FARM_STAGES), FARM_STAGES),
         both + f" SELECT {', '.join('m.' + k for k in mkeys)}, " + ", ".join(
             f"round(CASE WHEN dummy_uf_reg = 'uf' THEN s.{c} ELSE r.{c} END, 6) AS {c}" for c in FARM_STAGES)
@@ -541,7 +545,7 @@ FROM matrix m LEFT JOIN k ON m.Id_sample = k.Id_sample AND m.municipality_code =
         matrix = I.attach_processing(
             matrix, I.processing_background_impacts(rows, background), I.electricity_impacts(rows, background),
             I.combustion_impacts(_combustion(s, d), load(s, d, "cf")), N)
-        return I.complete_master(I.master_matrix(matrix, 2).withColumns({c: F.lit(0.0) for c in [*LAND_STAGES, *FARM_STAGES]}))
+        return I.complete_master(I.master_matrix(matrix, N).withColumns({c: F.lit(0.0) for c in [*LAND_STAGES, *FARM_STAGES]}))
 
     add("I14_stage_attachment", lambda s, d: rounded(_staged(s, d).select(*mkeys, *attached), attached),
         f"WITH {BURNT},{MATRIX},{CF}{PROCESSED},{DISTANCES},{TRANSPORT[len(DISTANCES) + len(BACKGROUND) + 2:].strip().lstrip(',')} "

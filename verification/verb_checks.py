@@ -124,10 +124,9 @@ def checks() -> dict:
     add("V26_unpivot", _q("stock", lambda s: V.lengthen(s, ["Id_sample", "municipality_code", "year"], many, "name", "value")),
         "SELECT Id_sample, municipality_code, year, name, value FROM stock UNPIVOT INCLUDE NULLS (value FOR name IN (area_ha, CO2e_soc, CO2e_bmb, CH4e))")
     add("V27_key_concat_split",
-        _flow(lambda f: f.select("soy_eq", F.split(V.join_key("k", ["state_code", "exporter_name", "year"]), "-").alias("k"))
-              .select("soy_eq", *[F.get("k", F.lit(i)).alias(x) for i, x in enumerate("abc")])),
-        "SELECT soy_eq, split_part(k, '-', 1) AS a, split_part(k, '-', 2) AS b, split_part(k, '-', 3) AS c "
-        "FROM (SELECT soy_eq, concat_ws('-', coalesce(CAST(state_code AS VARCHAR), 'NA'), exporter_name, CAST(year AS VARCHAR)) AS k FROM flow)")
+        _flow(lambda f: V.split_key(f.select("soy_eq", V.join_key("k", ["state_code", "year", F.concat_ws("-", "exporter_name", "import_country_name")])), "k", "abc")),
+        "SELECT soy_eq, split_part(k, '-', 1) AS a, split_part(k, '-', 2) AS b, substr(k, length(split_part(k, '-', 1)) + length(split_part(k, '-', 2)) + 3) AS c "
+        "FROM (SELECT soy_eq, concat_ws('-', coalesce(CAST(state_code AS VARCHAR), 'NA'), CAST(year AS VARCHAR), exporter_name, import_country_name) AS k FROM flow)")
     add("V28_parallel_explode",
         _q("bounds", lambda b: b.select("k", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(3)).alias("i"), F.array("mode", "high", "low").alias("v"))).alias("z"))
            .select("k", F.col("z.i").alias("i"), F.col("z.v").alias("v"))),

@@ -181,7 +181,7 @@ FROM part GROUP BY p_partkey % 13""",
 SELECT CASE WHEN l_linenumber <= 5 THEN 'Farming' ELSE 'Processing' END AS stage,
   CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE state_code END AS state_code, region_name,
   act AS type_activity_data2, act AS type_activity_data3,
-  CASE act WHEN 'fertiliser' THEN CASE l_partkey % 3 WHEN 0 THEN 'Urea' WHEN 1 THEN 'MAP' ELSE 'KCl' END
+  CASE act WHEN 'fertiliser' THEN CASE l_partkey % 3 WHEN 0 THEN 'Urea-46-N' WHEN 1 THEN 'MAP' ELSE 'KCl' END
        WHEN 'pesticide' THEN 'Glyphosate' WHEN 'soil_correctors' THEN 'Limestone' WHEN 'sowing' THEN 'Seed' WHEN 'machinery' THEN 'Diesel'
        ELSE CASE l_partkey % 6 WHEN 0 THEN 'Hexane' WHEN 1 THEN 'Tap_water' WHEN 2 THEN 'Diesel'
             WHEN 3 THEN 'Natural_Gas_High_Pressure' WHEN 4 THEN 'Hardwood_Chips_From_Forest' ELSE 'Electricity' END END AS key_sim,
@@ -243,7 +243,7 @@ SELECT 'REALM ' || CAST(p_partkey % 2 AS STRING) AS realm, 'B' || CAST(p_partkey
   'ECO ' || CAST(p_partkey % 4 AS STRING) AS eco_name, CAST(1 + p_size % 5 AS INT) AS habitat_id, 'H' || CAST(1 + p_size % 5 AS STRING) AS habitat,
   CASE WHEN p_partkey % 997 = 5 THEN NULL ELSE p_retailprice / 1024 END AS cf_occ_avg_glo, p_retailprice / 512 AS cf_tra_avg_glo FROM part""",
     "content": """
-SELECT CASE p_partkey % 3 WHEN 0 THEN 'Urea' WHEN 1 THEN 'MAP' ELSE 'Limestone' END AS activity_data1,
+SELECT CASE p_partkey % 3 WHEN 0 THEN 'Urea-46-N' WHEN 1 THEN 'MAP' ELSE 'Limestone' END AS activity_data1,
   CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE CAST(min(p_size) + 8 AS DOUBLE) / 64 END AS N_content,
   CASE WHEN p_partkey % 3 = 1 THEN NULL ELSE CAST(min(p_size) + 4 AS DOUBLE) / 64 END AS C_content
 FROM part GROUP BY p_partkey % 3""",
@@ -274,7 +274,7 @@ SELECT CASE WHEN p_size % 9 = 8 THEN 'Core_effects' ELSE 'All_effects_100yr' END
   CASE p_partkey % 5 WHEN 0 THEN 'Ecotoxicity, freshwater, average' WHEN 1 THEN 'Ecotoxicity, terrestrial, average'
        WHEN 2 THEN 'Land stress, TE, average' WHEN 3 THEN 'Climate change, TE' ELSE 'Ecotoxicity, marine, average' END AS impact_category,
   CASE WHEN p_partkey % 5 IN (0, 1, 4) THEN 'PDF.m3.d' ELSE 'PDF.year' END AS unit_impact,
-  CASE p_partkey % 19 WHEN 0 THEN 'Urea' WHEN 1 THEN 'MAP' WHEN 2 THEN 'KCl' WHEN 3 THEN 'Glyphosate' WHEN 4 THEN 'Limestone' WHEN 5 THEN 'Seed'
+  CASE p_partkey % 19 WHEN 0 THEN 'Urea-46-N' WHEN 1 THEN 'MAP' WHEN 2 THEN 'KCl' WHEN 3 THEN 'Glyphosate' WHEN 4 THEN 'Limestone' WHEN 5 THEN 'Seed'
        WHEN 6 THEN 'Diesel' WHEN 7 THEN 'Hexane' WHEN 8 THEN 'Tap_water' WHEN 9 THEN 'Natural_Gas_High_Pressure'
        WHEN 10 THEN 'Hardwood_Chips_From_Forest' WHEN 11 THEN 'Electricity_Low_Voltage_voltage_BR_Mid_western'
        WHEN 12 THEN 'Electricity_Low_Voltage_voltage_BR_Northern' WHEN 13 THEN 'Electricity_Low_Voltage_voltage_BR_North_eastern'
