@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from furrow import constants as K
 from furrow.functions.draws import high_from_sd, low_from_sd
 from furrow.functions.nulls import as_col, ratio, strict_avg, strict_sum, zero_fill
 from furrow.operators.grid import COVER_KEYS
-from furrow.operators.relational import (attach, expand_samples, fill_by_tier_means, keep_matches,
-                                         lengthen, rows_with_nulls, share_of_total, spread)
+from furrow.operators.relational import (attach, keep_matches, lengthen, nest_samples, rows_with_nulls,
+                                         share_of_total, spread, unnest_samples)
 from furrow.operators.sampling import triangular_draws
+from furrow.sources.stages import stage
 
 GASES = ["CO2", "CO", "CH4", "N2O", "NOx"]
 EMISSIONS = ["CO2e_soc", "CO2e_bmb", "CH4e", "N2Oe", "NOxe"]
@@ -144,20 +147,52 @@ def origin_totals(flows: DataFrame) -> DataFrame:
                                            strict_sum("land_use").alias("land_use"))
 
 
+MEASURED = ["area_ha", *EMISSIONS]
+
+
+def nested_emissions(flows: DataFrame, emissions: DataFrame, n: int) -> DataFrame:
+    """Origin-years of the flows, summed, with the emissions of all their samples as one array."""
+    held = nest_samples(emissions, ["municipality_code", "year"], MEASURED, n, "held")
+    return attach(origin_totals(flows), stage(held, "emission_samples"), ["municipality_code", "year"])
+
+
 def attach_emissions(flows: DataFrame, emissions: DataFrame, n: int) -> DataFrame:
-    """Origin-years of the flows, summed first, then once per sample with their emissions."""
-    rows = expand_samples(origin_totals(flows), n)
-    return attach(rows, emissions, ["Id_sample", "municipality_code", "year"])
+    """Origin-years of the flows, once per sample with their emissions; they multiply last."""
+    return unnest_samples(nested_emissions(flows, emissions, n), {"held": MEASURED}, n)
 
 
 CARBON_TIERS = [["Id_sample", "municipality_code"], ["Id_sample", "state_code", "year"],
                 ["Id_sample", "state_code"], ["Id_sample", "region_code", "year"]]
 
 
-def fill_emissions(rows: DataFrame) -> DataFrame:
-    """Missing emissions by tier means within a sample, labelled by the tier."""
-    return fill_by_tier_means(rows, ["area_ha", *EMISSIONS], CARBON_TIERS,
-                              "data_quality_luc_emissions", K.CARBON_LABELS)
+def filled_emissions(flows: DataFrame, emissions: DataFrame, n: int) -> DataFrame:
+    """Origin-years once per sample, missing emissions filled by tier means within the sample.
+
+    A tier's means are arrays of n samples per key of the tier. Rows carry their own array and those
+    of the tiers; they multiply where means are summed, which combines on the map side, and in the
+    last step, above which nothing is joined or shuffled.
+    """
+    rows = stage(nested_emissions(flows, emissions, n), "origin_emissions")
+    nested = {"held": MEASURED}
+
+    def sources(c: str) -> list[Column]:
+        names = [c, *(f"{tier}_{c}" for tier in list(nested)[1:])]
+        return [F.nanvl(as_col(x), F.lit(None).cast("double")) for x in names]
+
+    for depth, tier in enumerate(CARBON_TIERS):
+        known = unnest_samples(rows, nested, n)
+        means = known.groupBy(*tier).agg(*[
+            F.avg(F.coalesce(*sources(c))).alias(f"tier{depth}_{c}") for c in MEASURED])
+        keys = [k for k in tier if k != "Id_sample"]
+        values = [f"tier{depth}_{c}" for c in MEASURED]
+        rows = attach(rows, stage(nest_samples(means, keys, values, n, f"tier{depth}"), "tier_means"), keys)
+        nested[f"tier{depth}"] = values
+    out = unnest_samples(rows, nested, n)
+    reached = reduce(lambda later, i: F.when(sources("area_ha")[i].isNotNull(), F.lit(K.CARBON_LABELS[min(
+        i, len(K.CARBON_LABELS) - 1)])).otherwise(later), reversed(range(len(nested))), F.lit(K.CARBON_LABELS[-1]))
+    filled = {c: F.coalesce(*sources(c)) for c in MEASURED}
+    return out.withColumns(filled | {"data_quality_luc_emissions": reached}).drop(
+        *[v for values in list(nested.values())[1:] for v in values])
 
 
 def missing_emissions(rows: DataFrame) -> DataFrame:

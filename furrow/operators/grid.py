@@ -122,6 +122,47 @@ def crop_cells(aligned: DataFrame, crop_class: int = K.CROP_CLASS) -> DataFrame:
         "csoc", F.col("soc1") - F.col("soc0"))
 
 
+def planted_cells(pixels: DataFrame, width: float, height: float, units: DataFrame | None = None,
+                  lag: int = K.LAG_YEARS, years: Sequence[int] | None = None,
+                  crop_class: int = K.CROP_CLASS, tile: int = TILE) -> DataFrame:
+    """The rows of `crop_cells(align_layers(...))`, of the tiles that `units` touch if they are given.
+
+    Cells under the crop lead: of the present cover only their class is shuffled, of the other layers
+    only tiles that hold such a cell in the target year. Both prunings and the units' tiles are
+    semi-joins with staged lists of tiles (a row per tile and year), and the units' rows and the years
+    are bounds on the scan, so all of it comes before the one exchange of pixels.
+    """
+    on_tile = {"__tr": F.floor(F.col("cell_row") / tile), "__tc": F.floor(F.col("cell_col") / tile)}
+    layers = pixels.where(F.col("layer").isin("cover", "soc", "burn"))
+    if years is not None:
+        layers = layers.where(F.col("year").isin(sorted({y - s for y in years for s in (0, lag)})))
+    if units is not None:
+        near = stage(unit_tiles(units, tile).select(
+            F.col("tile_row").alias("__tr"), F.col("tile_col").alias("__tc")).distinct(), "extent_tiles")
+        band = near.agg(F.min("__tr"), F.max("__tr"), F.min("__tc"), F.max("__tc")).first()
+        row_0, row_1, col_0, col_1 = (x if x is not None else -1 for x in band)
+        layers = layers.where(F.col("cell_row").between(row_0 * tile, (row_1 + 1) * tile - 1)
+                              & F.col("cell_col").between(col_0 * tile, (col_1 + 1) * tile - 1))
+        layers = layers.withColumns(on_tile).join(near, ["__tr", "__tc"], "left_semi")
+    layers = layers.withColumns(on_tile)
+    planted = (F.col("layer") == "cover") & (F.col("value") == crop_class)
+    served = layers.where(planted) if years is None else layers.where(planted & F.col("year").isin(list(years)))
+    tiles = stage(served.select("__tr", "__tc", F.col("year").alias("target")).distinct(), "planted_tiles")
+    now = F.when(F.col("layer") == "soc", F.array(F.lit(0), F.lit(lag))) \
+        .when(planted, F.array(F.lit(0), F.lit(lag))).otherwise(F.array(F.lit(lag)))
+    roles = layers.withColumn("shift", F.explode(now)).withColumn("target", F.col("year") + F.col("shift"))
+    roles = roles.join(tiles, ["__tr", "__tc", "target"], "left_semi")
+
+    def slot(layer: str, shift: int) -> Column:
+        return F.max(F.when((F.col("layer") == layer) & (F.col("shift") == shift), F.col("value")))
+
+    cells = roles.groupBy(*CELL, "y", F.col("target").alias("year")).agg(
+        slot("cover", 0).alias("cov1"), slot("cover", lag).alias("cov0"),
+        slot("soc", 0).alias("soc1"), slot("soc", lag).alias("soc0"), slot("burn", lag).alias("burnt"))
+    return cells.where("cov1 IS NOT NULL").withColumns({
+        "area": cell_area_km2("y", width, height), "csoc": F.col("soc1") - F.col("soc0")})
+
+
 def change_matrix(cells: DataFrame, units: DataFrame) -> DataFrame:
     """Cell count, mean soil-carbon change and area by former cover, cover, burn, unit and year."""
     return crop(cells, units).groupBy("municipality_code", "year", "cov0", "cov1", "burnt").agg(

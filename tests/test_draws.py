@@ -63,3 +63,17 @@ def test_resample_gives_one_source_per_sample_and_uses_all(spark):
     assert (out.groupby(["id", "Id_sample"]).size() == 1).all() and len(out) == 6000
     share = out[out.id == "a"].src.value_counts(normalize=True)
     assert share.between(0.30, 0.37).all() and len(share) == 3
+
+
+def test_millions_of_rows_have_streams_of_their_own(spark):
+    ids = spark.range(3_000_000).select(stream("v", "id").alias("s"))
+    assert ids.agg(F.count_distinct("s")).first()[0] == 3_000_000
+
+
+def test_both_halves_of_a_stream_decide_the_draws(spark):
+    """Streams that agree in one half of their bits draw differently."""
+    ids = spark.createDataFrame([(i, s) for i, s in enumerate([5, 5 + (1 << 32), 6, -5, (1 << 62) + 5])], "i int, s long")
+    u = ids.crossJoin(spark.range(1, 2001).toDF("sample")).select(
+        "i", "sample", uniform("s", noise("sample")).alias("u")).toPandas().pivot(index="sample", columns="i", values="u")
+    correlation = np.corrcoef(u.to_numpy().T)
+    assert (np.abs(correlation - np.eye(5)) < 0.08).all() and u.mean().between(0.47, 0.53).all()

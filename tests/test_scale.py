@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from furrow.functions import quantiles
 from furrow.functions.quantiles import group_quantiles
 from furrow.operators import carbon as E
 from furrow.operators import flows as T
@@ -84,13 +85,60 @@ def test_nested_samples_keep_their_place(spark):
                    ("b", 3): 6.0, ("c", 1): None, ("c", 2): None, ("c", 3): None}
 
 
-def test_repeated_samples_do_not_take_the_place_of_lacking_ones(spark):
-    """As many rows as samples, two of them of sample 1: sample 2 stays without a value."""
-    df = spark.createDataFrame([("a", 1, 50.0), ("a", 1, 5.0), ("b", 2, 2.0), ("b", 1, 1.0)],
-                               "k string, Id_sample int, v double")
-    rows = unnest_samples(nest_samples(df, ["k"], ["v"], 2, "held"), {"held": ["v"]}, 2).collect()
-    assert {(r.k, r.Id_sample): r.v for r in rows} == {
-        ("a", 1): 5.0, ("a", 2): None, ("b", 1): 1.0, ("b", 2): 2.0}
+def test_nested_samples_return_what_left_joins_return(spark):
+    """Repeated, lacking and complete samples of two tables, against left joins by key and sample."""
+    one = spark.createDataFrame([("a", 1, 50.0, "x"), ("a", 1, 5.0, None), ("a", 1, 5.0, None), ("b", 2, 2.0, "y"),
+                                 ("b", 1, None, None), ("b", 3, 3.0, "z"), ("c", 3, 9.0, "c")],
+                                "k string, Id_sample int, v double, t string")
+    two = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 3, 3), ("d", 2, 4), ("d", 2, 4)],
+                                "k string, Id_sample int, w int")
+    keys = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1), ("d", 1), ("e", 1), (None, 1)], "k string, id int")
+    wide = attach(keys, nest_samples(one, ["k"], ["v", "t"], 3, "first"), ["k"])
+    wide = attach(wide, nest_samples(two, ["k"], ["w"], 3, "second"), ["k"])
+    got = unnest_samples(wide, {"first": ["v", "t"], "second": ["w"]}, 3)
+    plain = keys.crossJoin(spark.range(1, 4).select(F.col("id").cast("int").alias("Id_sample")))
+    want = plain.join(one, ["k", "Id_sample"], "left").join(two, ["k", "Id_sample"], "left")
+    order = ["k", "id", "Id_sample", "v", "t", "w"]
+    rows = lambda df: sorted(map(str, df.select(order).collect()))
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("bad", [0, 4, None])
+def test_samples_outside_the_run_are_an_error(spark, bad):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", bad, 2.0)], "k string, Id_sample int, v double")
+    with pytest.raises(Exception, match="sample outside 1..3"):
+        nest_samples(df, ["k"], ["v"], 3, "held").collect()
+
+
+def test_emissions_are_filled_before_rows_multiply(spark):
+    text = plan(C._filled(spark, SF_DIR))
+    body = text[:text.index("\n(1)")]
+    above = body[:body.index("Generate")]
+    assert "Join" not in above and "Exchange" not in above
+
+
+def test_pixels_are_pruned_before_their_exchange(spark):
+    """Class, years and extents stand below the first exchange of pixels, the bounds on the scan."""
+    pixels = stage(load(spark, SF_DIR, "pixel"), "pixel_test")
+    units = load(spark, SF_DIR, "unit")
+    cells = S.planted_cells(pixels, 0.25, 0.0005, units, years=[1998])
+    text = plan(cells)
+    body = text[:text.index("\n(1)")]
+    assert body.index("Exchange") < body.index("LeftSemi")
+    assert body.count("LeftSemi") == 2 or body.count("Join") == 2
+    scans = [line for line in text.splitlines() if "PushedFilters" in line]
+    assert any("In(year, [1995,1998])" in x and "GreaterThanOrEqual(cell_row" in x and "LessThanOrEqual(cell_col" in x
+               for x in scans)
+    whole = S.crop_cells(S.align_layers(pixels, 0.25, 0.0005, years=[1998]))
+    near = stage(S.unit_tiles(units).select("tile_row", "tile_col").distinct(), "tiles_test")
+    whole = whole.withColumns({"tile_row": F.floor(F.col("cell_row") / S.TILE), "tile_col": F.floor(F.col("cell_col") / S.TILE)}) \
+        .join(near, ["tile_row", "tile_col"], "left_semi").select(cells.columns)
+    assert sorted(map(str, cells.collect())) == sorted(map(str, whole.collect())) and cells.count()
+
+
+def test_no_units_plant_nothing(spark):
+    none = load(spark, SF_DIR, "unit").limit(0)
+    assert S.planted_cells(load(spark, SF_DIR, "pixel"), 0.25, 0.0005, none).count() == 0
 
 
 def test_crop_is_an_equality_join(spark):
@@ -138,6 +186,45 @@ def test_quantiles_match_brute_force_under_skew(spark, keys):
         assert got[group] == pytest.approx(list(np.quantile(data, list(wanted.values()))))
 
 
+def _most_ranked(monkeypatch):
+    """Largest number of values that are put in order for one range, by counting what `_ordered` gets."""
+    seen = []
+    ordered = quantiles._ordered
+
+    def counted(counts, targets, group):
+        ranges = targets.select(*group, "__low", "__high").distinct()
+        rows = quantiles._within(counts, ranges, group).groupBy(*group, "__low", "__high").count()
+        seen.extend(r["count"] for r in rows.collect())
+        return ordered(counts, targets, group)
+
+    monkeypatch.setattr(quantiles, "_ordered", counted)
+    return seen
+
+
+def test_one_outlier_does_not_put_all_values_in_one_window(spark, monkeypatch):
+    seen = _most_ranked(monkeypatch)
+    rng = np.random.default_rng(2)
+    data = np.concatenate([rng.normal(0, 1, 200_000), [1e12, -1e300, 1e300]])
+    df = spark.createDataFrame([(float(x),) for x in data], "v double")
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = group_quantiles(df, [], "v", wanted).first()
+    assert [got[n] for n in wanted] == pytest.approx(list(np.quantile(data, list(wanted.values()))))
+    assert max(seen) <= quantiles.RANKED
+
+
+@pytest.mark.parametrize("ranked", [1, 3, 100])
+def test_narrow_and_odd_ranges(spark, ranked):
+    """Values a double can hardly tell apart, subnormal ones, ties and single values, at every bucket limit."""
+    groups = {"close": [np.nextafter(1.0, 2.0), 1.0, np.nextafter(np.nextafter(1.0, 2.0), 2.0), 1.0],
+              "tiny": [5e-324, 1e-323, 1.5e-323, 0.0], "ties": [2.0] * 5 + [3.0], "one": [7.0],
+              "wide": [float(10.0 ** k) for k in range(-300, 300, 7)]}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    wanted = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 1.0}
+    got = {r.g: [r[n] for n in wanted] for r in group_quantiles(df, ["g"], "v", wanted, ranked=ranked).collect()}
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(vs, list(wanted.values()))), rel=1e-12, abs=1e-322)
+
+
 def test_stage_root_comes_from_the_session(spark):
     old = spark.conf.get("spark.checkpoint.dir", None)
     assert stage_root(spark)

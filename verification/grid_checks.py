@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from furrow.operators import grid as S
 from furrow.operators import sampling as M
 from furrow.operators.relational import expand_samples
-from furrow.sources.stages import stage_root
+from furrow.sources.stages import stage, stage_root
 from furrow.sources.tables import save_pixels
 from verification import draw_sql as D
 from verification.flow_checks import _q, round_sql, rounded
@@ -113,10 +113,10 @@ def checks() -> dict:
         lambda s, d: S.align_layers(bucketed(s, d), WIDTH, HEIGHT).select(*columns, F.round("area", 7).alias("area")),
         f"WITH {ALIGNED} SELECT {', '.join(columns)}, round(area, 7) AS area FROM aligned")
     add("S07_crop_cells",
-        _q("pixel", lambda p: S.crop_cells(S.align_layers(p, WIDTH, HEIGHT)).select(*columns, "csoc")),
+        _q("pixel", lambda p: S.planted_cells(p, WIDTH, HEIGHT).select(*columns, "csoc")),
         f"WITH {ALIGNED} SELECT {', '.join(columns)}, csoc FROM crop_cell")
     add("S08_change_matrix",
-        lambda s, d: rounded(S.change_matrix(S.crop_cells(S.align_layers(load(s, d, "pixel"), WIDTH, HEIGHT)), load(s, d, "unit")),
+        lambda s, d: rounded(S.change_matrix(S.planted_cells(stage(load(s, d, "pixel"), "pixel"), WIDTH, HEIGHT, load(s, d, "unit")), load(s, d, "unit")),
                              ["csoc_md", "area"]),
         f"WITH {ALIGNED} SELECT u.municipality_code, year, cov0, cov1, burnt, count(*) AS npixel, round(avg(csoc), 6) AS csoc_md, "
         f"round(sum(area), 6) AS area FROM crop_cell c JOIN unit u ON {IN_UNIT} GROUP BY ALL")

@@ -105,6 +105,10 @@ def _placed(s, d):
     return E.attach_emissions(load(s, d, "flow"), load(s, d, "stock"), N)
 
 
+def _filled(s, d):
+    return E.filled_emissions(load(s, d, "flow"), load(s, d, "stock"), N)
+
+
 # --- land stress -----------------------------------------------------------------------------
 
 LAND = """
@@ -409,12 +413,12 @@ def checks() -> dict:
     add("E06_emissions_per_hectare", lambda s, d: rounded(E.emissions_per_hectare(E.roll_up_classes(_by_class(s, d))), E.EMISSIONS, 5),
         f"WITH {EMITTED} SELECT Id_sample, municipality_code, year, area_ha, {round_sql(E.EMISSIONS, 5)} FROM per_ha")
     add("E07_origin_emissions", _placed, f"WITH {ORIGINS} SELECT * FROM placed")
-    add("E08_emission_tier_fill", lambda s, d: rounded(E.fill_emissions(_placed(s, d)), ["area_ha", *E.EMISSIONS]),
+    add("E08_emission_tier_fill", lambda s, d: rounded(_filled(s, d), ["area_ha", *E.EMISSIONS]),
         f"WITH {ORIGINS},{CARBON_FILL} SELECT * EXCLUDE (area_ha, {', '.join(E.EMISSIONS)}), {round_sql(['area_ha', *E.EMISSIONS])} FROM carbon_full")
     add("E08_missing_emissions", lambda s, d: E.missing_emissions(_placed(s, d)).select("municipality_code", "year", "Id_sample", "soy_eq"),
         f"WITH {ORIGINS} SELECT municipality_code, year, Id_sample, soy_eq FROM placed WHERE area_ha IS NULL")
     add("E09_emissions_by_substance",
-        lambda s, d: rounded(E.emissions_by_substance(E.fill_emissions(_placed(s, d))), ["area_ha", "value_emission"]),
+        lambda s, d: rounded(E.emissions_by_substance(_filled(s, d)), ["area_ha", "value_emission"]),
         f"WITH {ORIGINS},{CARBON_FILL},{LONG} SELECT * EXCLUDE (area_ha, value_emission), {round_sql(['area_ha', 'value_emission'])} FROM long")
 
     add("B01_ecoregion_shares", lambda s, d: rounded(B.ecoregion_shares(load(s, d, "overlap")), ["pt_int_amun"]),
@@ -504,7 +508,7 @@ def checks() -> dict:
     carbon = ["i_luclu_above_biomass", "i_luclu_soc"]
     add("I06_carbon_impact",
         lambda s, d: rounded(I.master_matrix(I.attach_carbon(_matrix(s, d), I.carbon_stock_impacts(E.emissions_by_substance(
-            E.fill_emissions(_placed(s, d))), load(s, d, "cf")), N), N).fillna(0).select(*mkeys, *carbon), carbon, 9),
+            _filled(s, d)), load(s, d, "cf")), N), N).fillna(0).select(*mkeys, *carbon), carbon, 9),
         f"""WITH {MATRIX},{ORIGINS},{CARBON_FILL},{LONG},{CF}, k AS (SELECT Id_sample, municipality_code, year, damage, impact_category, unit_impact,
   sum(value_emission * value) FILTER (WHERE subc1 = 'ibmb') AS a, sum(value_emission * value) FILTER (WHERE subc1 = 'iSOC') AS b
   FROM long JOIN cfs USING (substance_ac) GROUP BY ALL)
