@@ -168,17 +168,23 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
 
 def _hex(prints: np.ndarray) -> list[str]:
-    return [row.tobytes().hex() for row in prints.astype(">u4")]
+    return [row.hex() for row in _bytes(prints)]
+
+
+def _bytes(prints: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in prints.astype(">u4")]
 
 
 # --- a text against its edited form and its neighbour --------------------------------------------
 
 EDITED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
           "edited_fingerprint string, near_edited double, near_next double")
-_ENDS = EDITED + ", part int, place int, text string"
+#: As written between steps: fingerprints as bytes.
+_BYTES = EDITED.replace("fingerprint string", "fingerprint binary")
+_ENDS = _BYTES + ", part int, place int, text string"
 _TYPES = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-    ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()),
     ("place", pa.int32()), ("text", pa.string())])
 #: Characters of texts whose fingerprints a task works out at once.
@@ -212,7 +218,8 @@ def edited_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     joined = (last.join(after, "part")
               .join(first.withColumnRenamed("part", "next_part"), "next_part")
               .select("doc_id", "text", "next"))
-    return done.unionByName(joined.mapInArrow(_compare_ends, EDITED))
+    both = done.unionByName(joined.mapInArrow(_compare_ends, _BYTES))
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +271,7 @@ def _pairs(texts: list[str], own: range, following: range) -> list[pa.Array]:
     plain, changed = fingerprints(points), fingerprints(edited)
     mine, theirs = plain[list(own)], plain[list(following)]
     return [pa.array([len(points[i]) for i in own], pa.int64()), pa.array(sums, pa.string()),
-            pa.array(_hex(mine), pa.string()), pa.array(_hex(changed), pa.string()),
+            pa.array(_bytes(mine), pa.binary()), pa.array(_bytes(changed), pa.binary()),
             pa.array(likeness(mine, changed), pa.float64()),
             pa.array(likeness(mine, theirs), pa.float64())]
 
