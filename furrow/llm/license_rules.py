@@ -104,13 +104,15 @@ def marked(text: Column) -> Column:
     . ; : ! ? before white space, a line's end unless the next line goes on with a small letter,
     before the capital of a longer sentence's first words, both ends of an address, both sides of a
     list number."""
-    out = F.regexp_replace(text, f"([.;:!?]){_SPACE}+", f"$1{_BREAK}")
-    out = F.regexp_replace(out, rf"\n{_SPACE}*([^a-z \t\n\r\f])", f"{_BREAK}$1")
+    # A run of white space becomes one character first, so that no later pattern meets a long run.
+    out = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
+    out = F.regexp_replace(out, f"([.;:!?]){_SPACE}", f"$1{_BREAK}")
+    out = F.regexp_replace(out, r"\n([^a-z])", f"{_BREAK}$1")
     out = F.regexp_replace(out, f"{_SPACE}({_HEADS}) ", f"{_BREAK}$1 ")
     out = F.regexp_replace(out, rf"(https?://[^ \t\n\r\f{_BREAK}]+)", f"{_BREAK}$1{_BREAK}")
     # a list number, behind comment marks or none, is no word of the sentence that it leads in
     out = F.regexp_replace(out, rf"(^|\n|{_BREAK})([^a-zA-Z0-9\n{_BREAK}]*)(?:[0-9]{{1,3}}|[a-zA-Z])"
-                                rf"[.)](?:{_SPACE}|{_BREAK})+", f"$1$2{_BREAK}")
+                                rf"[.)][ \t\n\r\f{_BREAK}]+", f"$1$2{_BREAK}")
     lower = F.translate(out, _UPPER, _LOWER)
     plain = F.regexp_replace(lower, f"[^a-z0-9{_BREAK}]+", " ")
     plain = F.concat(F.lit(_BREAK), plain, F.lit(_BREAK))
@@ -121,9 +123,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, n_sentences, licenses, unmatched) of the documents with a known sentence.
 
     `licenses`: what the rules found, in the rules' order, joined by commas; `unmatched`:
-    identifiers that no rule took. A null or empty text has no sentence and gives no row. Rows of
-    one id count as one document whose sentences interleave by place; rows without an id count as
-    one too. Sentences without a letter do not part adjacent ones. Other columns are left out.
+    identifiers that no rule took. A null or empty text has no sentence and gives no row. Each row is
+    judged by itself, also rows of one id and rows without an id. Sentences without a letter do not
+    part adjacent ones. Other columns are left out. Nothing is shuffled.
     """
     longest_first = sorted(SENTENCES, key=lambda x: (-len(x), x))
     some = f"{_BREAK}(?:{'|'.join(map(_pattern, longest_first))}){_BREAK}"
@@ -134,11 +136,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         t = F.regexp_replace(t, f"{_BREAK}{_pattern(sentence)}(?={_BREAK})",
                              f"{_BREAK}@{SENTENCES[sentence]}")
     parts = F.filter(F.split(t, _BREAK), lambda x: x.rlike("[a-z]"))
-    hits = (found.select("doc_id", F.posexplode(parts).alias("place", "s")).where("s like '@%'")
-            .select("doc_id", "place", F.substring("s", 2, 99).alias("ident")))
-    return _rules(hits.groupBy("doc_id").agg(
-        F.count("*").alias("n_sentences"),
-        F.array_sort(F.collect_list(F.struct("place", "ident"))).alias("hits")))
+    hits = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("place"), F.substring(x, 2, 99).alias("ident"), x.startswith("@").alias("known"))),
+                    lambda x: x["known"])
+    return _rules(found.select("doc_id", hits.alias("hits")).where(F.size("hits") > 0)
+                  .select("doc_id", F.size("hits").cast("long").alias("n_sentences"), "hits"))
 
 
 def _rules(sequences: DataFrame) -> DataFrame:
