@@ -21,7 +21,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from furrow.llm import blocks
 
 #: Distinct words a task holds before it sends them to their buckets.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 200_000
+#: Documents whose texts a task decodes at once.
+DECODED_AT_ONCE = 256
 #: Words given to the tokenizer at once.
 ENCODED_AT_ONCE = 4096
 
@@ -169,7 +171,8 @@ def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame
 
     def pieces(batches):
         piece = shared.value
-        for batch in batches:
+        for batch in (whole.slice(i, DECODED_AT_ONCE) for whole in batches
+                      for i in range(0, whole.num_rows, DECODED_AT_ONCE)):
             lists = batch.column(1)
             values = np.asarray(lists.values)
             ends = np.asarray(lists.offsets)
