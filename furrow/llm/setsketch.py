@@ -24,15 +24,15 @@ from furrow.sources.stages import stage
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
-# A pair at the limit shares no band with a chance of (1 - 0.75^3)^42 = 1e-10.
-BANDS, ROWS = 42, 3
-#: Registers beyond those in bands sharpen the estimate.
-REGISTERS = 2 * BANDS * ROWS
+# A pair at the limit shares no band with a chance of (1 - 0.75^5)^64 = 3e-8; unrelated texts that have a
+# tenth of their shingles in common share one with 6e-4, so candidates stay in proportion to the input.
+BANDS, ROWS = 64, 5
+REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs estimated below this similarity are not confirmed: 5 deviations below the limit.
-LEAST_ESTIMATE = 0.614
+LEAST_ESTIMATE = 0.629
 #: Linked pairs differ in at most so many registers, but for a chance of about 1e-8.
-MOST_DIFFERENT = 101
+MOST_DIFFERENT = 124
 #: Words of 64 bits in the bitmap of a set; the bitmap bounds how much two sets can share.
 BITMAP = [f"bits_{i}" for i in range(16)]
 _BATCH_BYTES = 1 << 20
