@@ -13,6 +13,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ SIMILARITY_PERCENT = 75
 # A pair at the limit shares no band with a chance of (1 - 0.75^5)^64 = 3e-8; unrelated texts that have a
 # tenth of their shingles in common share one with 6e-4, so candidates stay in proportion to the input.
 BANDS, ROWS = 64, 5
+#: Bands that link most copies before the others are looked at.
+FIRST_BANDS = 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs estimated below this similarity are not confirmed: 5 deviations below the limit.
@@ -177,12 +180,31 @@ def _set_key(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = b"".join(batch.column(1).to_pylist())
-        keys = band_keys(np.frombuffer(data, np.uint16).reshape(batch.num_rows, REGISTERS))
-        ids = np.repeat(np.asarray(batch.column(0)), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["band", "id"])
+def _band_rows(bands: int):
+    """Of (id, label, registers): (band, id, label) of the first bands."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = b"".join(batch.column(2).to_pylist())
+            keys = band_keys(np.frombuffer(data, np.uint16).reshape(batch.num_rows, REGISTERS))[:, :bands]
+            own = [pa.array(np.repeat(np.asarray(batch.column(i)), bands)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *own], names=["band", "id", "label"])
+
+    return step
+
+
+def _stars(reps: DataFrame, labels: DataFrame | None, bands: int, slim: DataFrame) -> DataFrame:
+    """Each bucket's smallest id with its other members, weighed; a bucket whose members are all in one
+    component already has nothing to add and is left out."""
+    named = reps.select("id", F.col("id").alias("label"), "registers") if labels is None else \
+        reps.join(labels.toDF("id", "known"), "id", "left").select(
+            "id", F.coalesce("known", "id").alias("label"), "registers")
+    rows = named.mapInArrow(_band_rows(bands), "band long, id long, label long")
+    heads = (rows.groupBy("band").agg(F.min("id").alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
+             .where("low < high").select("band", "head"))
+    pairs = (rows.join(heads, "band").where("id != head")
+             .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    return stage(pairs.join(slim.toDF("b", "n_b", "r_b"), "b").join(slim.toDF("a", "n_a", "r_a"), "a")
+                 .select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_weigh, WEIGHED), "stars")
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,23 +221,31 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 WEIGHED = "a long, b long, different int, likely double"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        sets = shingle_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"])
+            [batch.column(0), pa.array([squeeze.compress(t or b"") for t in texts], pa.binary())], names=["id", "body"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, items_a, items_b): sizes of the sets and of their intersection."""
+    """Of (a, b, body_a, body_b): sizes of the sets and of their intersection. Pairs come sorted by a, so
+    its set is made once for those in a row."""
+    unpack = zstandard.ZstdDecompressor()
+    last, x = None, np.zeros(0, np.uint64)
     for batch in batches:
-        sizes = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            sizes.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
-        columns = [pa.array(c, pa.int64()) for c in zip(*sizes)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns],
-                                         names=["a", "b", "n_a", "n_b", "common"])
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            sizes = []
+            for body, other in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                if body != last:
+                    last, x = body, shingle_sets([unpack.decompress(body)])[0]
+                y = shingle_sets([unpack.decompress(other)])[0]
+                sizes.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            columns = [pa.array(c, pa.int64()) for c in zip(*sizes)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns],
+                                             names=["a", "b", "n_a", "n_b", "common"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,10 +273,11 @@ def components(links: DataFrame) -> DataFrame:
 def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, common) of pairs (a, b) of ids in `docs` (id, text), from their full sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stage(docs.join(wanted, "id", "left_semi").select("id", "text")
-                 .mapInArrow(_sets, "id long, items binary"), "sets")
-    joined = (pairs.join(sets.toDF("b", "items_b"), "b").join(sets.toDF("a", "items_a"), "a")
-              .select("a", "b", "items_a", "items_b"))
+    # Packed texts are a third of their sets.
+    texts = stage(docs.join(wanted, "id", "left_semi").select("id", "text")
+                  .mapInArrow(_packed_texts, "id long, body binary"), "texts")
+    joined = (pairs.join(texts.toDF("b", "body_b"), "b").join(texts.toDF("a", "body_a"), "a")
+              .select("a", "b", "body_a", "body_b"))
     return joined.mapInArrow(_common, "a long, b long, n_a long, n_b long, common long")
 
 
@@ -343,7 +374,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     1. Equal sets become one class (an aggregation, however many copies); the class's smallest id
        stands for it from here on.
     2. Each bucket of a band compares its smallest id with its other members: as many pairs as
-       members. Confirmed links give a first set of components.
+       members. This is done for a few bands first; of the others, only buckets whose members are
+       still in different components are looked at. Confirmed links give a first set of components.
     3. Two members of one bucket are also linked if neither is linked with its smallest id. Those
        are sought among the members of the same smallest id that are still in different
        components; their distances to it, counted in registers, must differ by no more than a
@@ -356,17 +388,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                                                     F.first("registers").alias("registers")))
     reps = stage(first.join(classes, [first.set_key == classes.set_key, first.doc_id == classes.id])
                  .select("id", first.set_key, "n", "registers"), "classes")
-    bands = reps.select("id", "registers").mapInArrow(_band_rows, "band long, id long")
-    heads = (bands.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-             .where("head < last").select("band", "head"))
-    pairs = (bands.join(heads, "band").where("id != head")
-             .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     slim = reps.groupBy("id").agg(F.min("n").alias("n"), F.min("registers").alias("r"))
 
     source = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
-    stars = stage(pairs.join(slim.toDF("b", "n_b", "r_b"), "b").join(slim.toDF("a", "n_a", "r_a"), "a")
-                  .select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_weigh, WEIGHED), "stars")
-    links = _verified(stars.where(F.col("likely") >= LEAST_ESTIMATE).select("a", "b"), source)
+    likely = F.col("likely") >= LEAST_ESTIMATE
+    links = _verified(_stars(reps, None, FIRST_BANDS, slim).where(likely).select("a", "b"), source)
+    labels = components(links)
+    stars = _stars(reps, labels, BANDS, slim)
+    apart = (stars.where(likely).select("a", "b").join(labels.toDF("a", "label_a"), "a", "left")
+             .join(labels.toDF("b", "label_b"), "b", "left")
+             .where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b"))
+    links = links.union(_verified(apart, source))
     labels = components(links)
     crossing = _crossing(stars, labels, source, slim)
     more = stage(crossing.mapInArrow(_weigh, WEIGHED).where(F.col("likely") >= LEAST_ESTIMATE)
