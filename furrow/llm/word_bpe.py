@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from furrow.llm import blocks
 
 #: Distinct words a task holds before it sends them to their buckets.
-HELD_WORDS = 200_000
+HELD_WORDS = 600_000
 #: Documents whose texts a task decodes at once.
 DECODED_AT_ONCE = 256
 #: Words given to the tokenizer at once.
