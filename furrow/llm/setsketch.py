@@ -223,7 +223,7 @@ WEIGHED = "a long, b long, different int, likely double"
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([squeeze.compress(t or b"") for t in texts], pa.binary())], names=["id", "body"])
