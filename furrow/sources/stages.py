@@ -8,10 +8,13 @@ execution splits. No broadcast is forced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def stage_root(spark: SparkSession) -> str:
     """Shared folder named by the session; a local session that names none uses its warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -22,12 +25,54 @@ def stage_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as a parquet stage table and return the scan of it."""
+def _write(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{stage_root(spark)}/furrow/{tag}-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, tag: str) -> DataFrame:
+    """Write `df` as a parquet stage table and return the scan of it."""
+    return _write(df, tag)[0]
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a stage table, on whatever file system its folder is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class WorkingTables:
+    """Stage tables with one owner; `drop` deletes all but those written by `kept`."""
+
+    def __init__(self) -> None:
+        self._owned: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        table, path = _write(df, tag)
+        self._owned.append((df.sparkSession, path))
+        return table
+
+    def kept(self, df: DataFrame, tag: str) -> DataFrame:
+        return stage(df, tag)
+
+    def drop(self) -> None:
+        while self._owned:
+            drop_table(*self._owned.pop())
+
+
+@contextmanager
+def working_tables() -> Iterator[WorkingTables]:
+    """Stage tables of one computation, deleted at its end, also when it fails.
+
+    What it returns must be written by `kept`: a lazy result would read deleted tables. Its own
+    tables have new names each time, so a broken computation can be started again as it is."""
+    tables = WorkingTables()
+    try:
+        yield tables
+    finally:
+        tables.drop()
 
 
 def tune(spark: SparkSession, broadcast_limit: str = "64MB") -> SparkSession:
