@@ -8,7 +8,7 @@ sorts out hopeless ones, and every link is confirmed on the full sets of shingle
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -21,7 +21,9 @@ from furrow.llm import blocks
 from furrow.llm.repeats import keys_sent, known_keys, repeated_keys
 from furrow.llm.runs import gram_hashes, mix
 from furrow.llm.words import word_hashes
-from furrow.sources.stages import stage
+from furrow.sources.stages import stage, working_tables
+
+Stage = Callable[[DataFrame, str], DataFrame]
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
@@ -39,6 +41,8 @@ MOST_DIFFERENT = 124
 #: Words of 64 bits in the bitmap of a set; the bitmap bounds how much two sets can share.
 BITMAP = [f"bits_{i}" for i in range(16)]
 _BATCH_BYTES = 1 << 20
+#: Bits of the bitmap that finds rows by their ids: 8 MB at most, whatever the number of ids.
+SLOTS = 1 << 26
 #: Shingles of a block that a task holds before it sends them.
 HELD_SHINGLES = 2_000_000
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32)[:, None] | np.uint32(1)
@@ -192,17 +196,46 @@ def _band_rows(bands: int):
     return step
 
 
-def _stars(reps: DataFrame, labels: DataFrame | None, bands: int, slim: DataFrame) -> DataFrame:
+def among(rows: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
+    """The rows whose `name`, a long, stands in the column of that name in `ids`, each row once.
+
+    A bitmap of hashed ids, of a bounded size and hence broadcast, leaves out nearly all other rows
+    where they lie; with more ids than it has bits it only leaves out less. The semi-join after it
+    is exact, and what it shuffles is about as much as it returns."""
+    slot = F.pmod(F.xxhash64(name), F.lit(SLOTS)) + 1
+    pages = (ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("page"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")))
+    placed = rows.withColumns({"page": F.bitmap_bucket_number(slot), "place": F.bitmap_bit_position(slot)})
+    byte = F.expr("cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as long)")
+    found = placed.join(F.broadcast(pages), "page").where(
+        F.getbit(byte, (F.col("place") % 8).cast("int")) == 1)
+    return found.select(*rows.columns).join(ids.select(name), name, "left_semi")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(id) of both ends of pairs (a, b), each once."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _sketched(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, r) of the ids: a set's size and registers."""
+    return among(reps.select("id", "n", "registers"), ids).groupBy("id").agg(
+        F.min("n").alias("n"), F.min("registers").alias("r"))
+
+
+def _stars(reps: DataFrame, labels: DataFrame | None, bands: int, stage: Stage) -> DataFrame:
     """Each bucket's smallest id with its other members, weighed; a bucket whose members are all in one
     component already has nothing to add and is left out."""
     named = reps.select("id", F.col("id").alias("label"), "registers") if labels is None else \
         reps.join(labels.toDF("id", "known"), "id", "left").select(
             "id", F.coalesce("known", "id").alias("label"), "registers")
     rows = named.mapInArrow(_band_rows(bands), "band long, id long, label long")
-    heads = (rows.groupBy("band").agg(F.min("id").alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
-             .where("low < high").select("band", "head"))
-    pairs = (rows.join(heads, "band").where("id != head")
-             .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    heads = stage(rows.groupBy("band").agg(F.min("id").alias("head"), F.min("label").alias("low"),
+                                           F.max("label").alias("high"))
+                  .where("low < high").select("band", "head"), "heads")
+    pairs = stage(among(rows.select("band", "id"), heads, "band").join(heads, "band").where("id != head")
+                  .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    slim = stage(_sketched(reps, stage(ends(pairs), "ends")), "sketched")
     return stage(pairs.join(slim.toDF("b", "n_b", "r_b"), "b").join(slim.toDF("a", "n_a", "r_a"), "a")
                  .select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_weigh, WEIGHED), "stars")
 
@@ -248,7 +281,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["a", "b", "n_a", "n_b", "common"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, stage: Stage = stage) -> DataFrame:
     """(node, label): the smallest node that each node of the links (a, b) reaches.
 
     Each round takes the smallest label among neighbours, then the label of the label; rounds are
@@ -270,23 +303,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _measured(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
     """(a, b, n_a, n_b, common) of pairs (a, b) of ids in `docs` (id, text), from their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Packed texts are a third of their sets.
-    texts = stage(docs.join(wanted, "id", "left_semi").select("id", "text")
+    texts = stage(among(docs, stage(ends(pairs), "ends")).select("id", "text")
                   .mapInArrow(_packed_texts, "id long, body binary"), "texts")
     joined = (pairs.join(texts.toDF("b", "body_b"), "b").join(texts.toDF("a", "body_a"), "a")
               .select("a", "b", "body_a", "body_b"))
     return joined.mapInArrow(_common, "a long, b long, n_a long, n_b long, common long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
     similar = F.col("common") * 100 >= SIMILARITY_PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    return stage(_measured(pairs, docs).where(similar).select("a", "b"), "links")
+    return stage(_measured(pairs, docs, stage).where(similar).select("a", "b"), "links")
 
 
-def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame, slim: DataFrame) -> DataFrame:
+def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame, reps: DataFrame,
+              stage: Stage) -> DataFrame:
     """Pairs of members of one head that are in different components and could be linked, with
     their sizes and registers; a pair may come once per head."""
     members = (stars.select("a", "b", "different").join(labels.toDF("b", "label"), "b", "left")
@@ -296,14 +329,14 @@ def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame, slim: Data
     members = stage(members, "members")
     open_heads = members.where("not inner").select("a").distinct()
     left = members.join(open_heads, "a", "left_semi")
-    sizes = stage(shared_shingles(source.join(
-        left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")), "shared")
+    sizes = stage(shared_shingles(among(source, stage(ends(left), "ends"))), "shared")
     # A link has three quarters of the union in common, so of either set too.
     able = stage(left.join(sizes.where("4 * shared >= 3 * n").select(
         F.col("id").alias("b"), "shared", *BITMAP), "b"), "able")
-    exact = _measured(able.select("a", "b"), source).withColumn(
+    exact = _measured(able.select("a", "b"), source, stage).withColumn(
         "far", 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")))
     able = able.join(exact.select("a", "b", F.col("n_b").alias("n"), "common", "far"), ["a", "b"])
+    slim = _sketched(reps, stage(able.select(F.col("b").alias("id")).distinct(), "ends"))
     able = stage(able.join(slim.select(F.col("id").alias("b"), "r"), "b"), "exact")
     outer = able.where("not inner").toDF(*[f"x_{c}" for c in able.columns])
     in_common = "least(common, x_common) + least(shared - common, x_shared - x_common)"
@@ -381,31 +414,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
        components; their distances to it, counted in registers, must differ by no more than a
        link allows (triangle inequality), which leaves out nearly all of the others.
     """
+    with working_tables() as stage:
+        return stage.kept(_components_of_rows(docs, doc_id, text, stage), "near-duplicates")
+
+
+def _components_of_rows(docs: DataFrame, doc_id: str, text: str, stage: Stage) -> DataFrame:
     sketches = stage(sketch(docs, doc_id, text), "sketches")
     known = sketches.where("set_key is not null and doc_id is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    first = (known.groupBy("doc_id", "set_key").agg(F.first("n_shingles").alias("n"),
-                                                    F.first("registers").alias("registers")))
-    reps = stage(first.join(classes, [first.set_key == classes.set_key, first.doc_id == classes.id])
-                 .select("id", first.set_key, "n", "registers"), "classes")
-    slim = reps.groupBy("id").agg(F.min("n").alias("n"), F.min("registers").alias("r"))
+    # Rows of one set_key have equal sizes and registers.
+    reps = stage(known.groupBy("set_key").agg(
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"),
+        F.first("registers").alias("registers")), "classes")
 
     source = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
     likely = F.col("likely") >= LEAST_ESTIMATE
-    links = _verified(_stars(reps, None, FIRST_BANDS, slim).where(likely).select("a", "b"), source)
-    labels = components(links)
-    stars = _stars(reps, labels, BANDS, slim)
-    apart = (stars.where(likely).select("a", "b").join(labels.toDF("a", "label_a"), "a", "left")
-             .join(labels.toDF("b", "label_b"), "b", "left")
-             .where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b"))
-    links = links.union(_verified(apart, source))
-    labels = components(links)
-    crossing = _crossing(stars, labels, source, slim)
+    first = _stars(reps, None, FIRST_BANDS, stage).where(likely).select("a", "b")
+    links = _verified(first, source, stage)
+    labels = components(links, stage)
+    stars = _stars(reps, labels, BANDS, stage)
+    apart = stage(stars.where(likely).select("a", "b").join(labels.toDF("a", "label_a"), "a", "left")
+                  .join(labels.toDF("b", "label_b"), "b", "left")
+                  .where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b"), "apart")
+    links = links.union(_verified(apart, source, stage))
+    labels = components(links, stage)
+    crossing = _crossing(stars, labels, source, reps, stage)
     more = stage(crossing.mapInArrow(_weigh, WEIGHED).where(F.col("likely") >= LEAST_ESTIMATE)
                  .select("a", "b").distinct(), "crossing")
-    further = _verified(more, source)
+    further = _verified(more, source, stage)
     if not further.isEmpty():
-        labels = components(links.union(further))
+        labels = components(links.union(further), stage)
     by_class = reps.select("set_key", "id").join(labels.toDF("id", "label"), "id", "left").select(
         "set_key", F.coalesce("label", "id").alias("component"))
     by_id = labels.toDF("doc_id", "own")
