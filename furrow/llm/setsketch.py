@@ -40,11 +40,13 @@ LEAST_ESTIMATE = 0.629
 MOST_DIFFERENT = 124
 #: Words of 64 bits in the bitmap of a set; the bitmap bounds how much two sets can share.
 BITMAP = [f"bits_{i}" for i in range(16)]
-_BATCH_BYTES = 1 << 20
+#: Bytes of texts whose words are hashed at once, and rows that a worker takes at once.
+_BATCH_BYTES = 1 << 18
+_ROWS_AT_ONCE = 512
 #: Bits of the bitmap that finds rows by their ids: 8 MB at most, whatever the number of ids.
 SLOTS = 1 << 26
 #: Shingles of a block that a task holds before it sends them.
-HELD_SHINGLES = 2_000_000
+HELD_SHINGLES = 500_000
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)).astype(np.uint32)[:, None] | np.uint32(1)
 
 
@@ -165,8 +167,12 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         _sketch, "doc_id long, n_shingles long, set_key binary, registers binary")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = _ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         sets = shingle_sets(texts)
         least = np.array([minima(s) for s in sets], np.uint32).reshape(len(sets), REGISTERS)
@@ -187,7 +193,7 @@ def _set_key(items: np.ndarray) -> bytes:
 def _band_rows(bands: int):
     """Of (id, label, registers): (band, id, label) of the first bands."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             data = b"".join(batch.column(2).to_pylist())
             keys = band_keys(np.frombuffer(data, np.uint16).reshape(batch.num_rows, REGISTERS))[:, :bands]
             own = [pa.array(np.repeat(np.asarray(batch.column(i)), bands)) for i in (0, 1)]
@@ -242,7 +248,7 @@ def _stars(reps: DataFrame, labels: DataFrame | None, bands: int, stage: Stage)
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (a, b, n_a, n_b, r_a, r_b): differing registers and the estimated similarity."""
-    for batch in batches:
+    for batch in _slices(batches):
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16)
                 .reshape(batch.num_rows, REGISTERS) for i in (4, 5))
         found = estimate(a, b, np.asarray(batch.column(2)), np.asarray(batch.column(3)))
@@ -256,7 +262,7 @@ WEIGHED = "a long, b long, different int, likely double"
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+    for batch in _slices(batches, 256):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([squeeze.compress(t or b"") for t in texts], pa.binary())], names=["id", "body"])
@@ -267,18 +273,16 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     its set is made once for those in a row."""
     unpack = zstandard.ZstdDecompressor()
     last, x = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            sizes = []
-            for body, other in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                if body != last:
-                    last, x = body, shingle_sets([unpack.decompress(body)])[0]
-                y = shingle_sets([unpack.decompress(other)])[0]
-                sizes.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
-            columns = [pa.array(c, pa.int64()) for c in zip(*sizes)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns],
-                                             names=["a", "b", "n_a", "n_b", "common"])
+    for part in _slices(batches, 256):
+        sizes = []
+        for body, other in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+            if body != last:
+                last, x = body, shingle_sets([unpack.decompress(body)])[0]
+            y = shingle_sets([unpack.decompress(other)])[0]
+            sizes.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+        columns = [pa.array(c, pa.int64()) for c in zip(*sizes)]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns],
+                                         names=["a", "b", "n_a", "n_b", "common"])
 
 
 def components(links: DataFrame, stage: Stage = stage) -> DataFrame:
