@@ -236,14 +236,15 @@ def _stars(reps: DataFrame, labels: DataFrame | None, bands: int, stage: Stage)
         reps.join(labels.toDF("id", "known"), "id", "left").select(
             "id", F.coalesce("known", "id").alias("label"), "registers")
     rows = named.mapInArrow(_band_rows(bands), "band long, id long, label long")
-    heads = stage(rows.groupBy("band").agg(F.min("id").alias("head"), F.min("label").alias("low"),
-                                           F.max("label").alias("high"))
-                  .where("low < high").select("band", "head"), "heads")
-    pairs = stage(among(rows.select("band", "id"), heads, "band").join(heads, "band").where("id != head")
-                  .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    slim = stage(_sketched(reps, stage(ends(pairs), "ends")), "sketched")
-    return stage(pairs.join(slim.toDF("b", "n_b", "r_b"), "b").join(slim.toDF("a", "n_a", "r_a"), "a")
-                 .select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_weigh, WEIGHED), "stars")
+    with working_tables() as own:
+        heads = own(rows.groupBy("band").agg(F.min("id").alias("head"), F.min("label").alias("low"),
+                                             F.max("label").alias("high"))
+                    .where("low < high").select("band", "head"), "heads")
+        pairs = own(among(rows.select("band", "id"), heads, "band").join(heads, "band").where("id != head")
+                    .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        slim = own(_sketched(reps, own(ends(pairs), "ends")), "sketched")
+        return stage(pairs.join(slim.toDF("b", "n_b", "r_b"), "b").join(slim.toDF("a", "n_a", "r_a"), "a")
+                     .select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_weigh, WEIGHED), "stars")
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +320,8 @@ def _measured(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, stage: Stage) -> DataFrame:
     similar = F.col("common") * 100 >= SIMILARITY_PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    return stage(_measured(pairs, docs, stage).where(similar).select("a", "b"), "links")
+    with working_tables() as own:
+        return stage(_measured(pairs, docs, own).where(similar).select("a", "b"), "links")
 
 
 def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame, reps: DataFrame,
@@ -330,18 +332,19 @@ def _crossing(stars: DataFrame, labels: DataFrame, source: DataFrame, reps: Data
                .join(labels.toDF("a", "head_label"), "a", "left")
                .select("a", "b", "different", F.coalesce("label", "b").alias("label"),
                        (F.coalesce("head_label", "a") == F.coalesce("label", "b")).alias("inner")))
-    members = stage(members, "members")
-    open_heads = members.where("not inner").select("a").distinct()
-    left = members.join(open_heads, "a", "left_semi")
-    sizes = stage(shared_shingles(among(source, stage(ends(left), "ends"))), "shared")
-    # A link has three quarters of the union in common, so of either set too.
-    able = stage(left.join(sizes.where("4 * shared >= 3 * n").select(
-        F.col("id").alias("b"), "shared", *BITMAP), "b"), "able")
-    exact = _measured(able.select("a", "b"), source, stage).withColumn(
-        "far", 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")))
-    able = able.join(exact.select("a", "b", F.col("n_b").alias("n"), "common", "far"), ["a", "b"])
-    slim = _sketched(reps, stage(able.select(F.col("b").alias("id")).distinct(), "ends"))
-    able = stage(able.join(slim.select(F.col("id").alias("b"), "r"), "b"), "exact")
+    with working_tables() as own:
+        members = own(members, "members")
+        open_heads = members.where("not inner").select("a").distinct()
+        left = members.join(open_heads, "a", "left_semi")
+        sizes = own(shared_shingles(among(source, own(ends(left), "ends"))), "shared")
+        # A link has three quarters of the union in common, so of either set too.
+        able = own(left.join(sizes.where("4 * shared >= 3 * n").select(
+            F.col("id").alias("b"), "shared", *BITMAP), "b"), "able")
+        exact = _measured(able.select("a", "b"), source, own).withColumn(
+            "far", 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")))
+        slim = _sketched(reps, own(able.select(F.col("b").alias("id")).distinct(), "ends"))
+        able = able.join(exact.select("a", "b", F.col("n_b").alias("n"), "common", "far"), ["a", "b"])
+        able = stage(able.join(slim.select(F.col("id").alias("b"), "r"), "b"), "exact")
     outer = able.where("not inner").toDF(*[f"x_{c}" for c in able.columns])
     in_common = "least(common, x_common) + least(shared - common, x_shared - x_common)"
     lacked = " + ".join(f"bit_count({bits} & ~x_{bits})" for bits in BITMAP)
@@ -423,12 +426,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def _components_of_rows(docs: DataFrame, doc_id: str, text: str, stage: Stage) -> DataFrame:
-    sketches = stage(sketch(docs, doc_id, text), "sketches")
-    known = sketches.where("set_key is not null and doc_id is not null")
-    # Rows of one set_key have equal sizes and registers.
-    reps = stage(known.groupBy("set_key").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"),
-        F.first("registers").alias("registers")), "classes")
+    with working_tables() as own:
+        sketches = own(sketch(docs, doc_id, text), "sketches")
+        rows = stage(sketches.select("doc_id", "n_shingles", "set_key"), "rows")
+        # Rows of one set_key have equal sizes and registers.
+        reps = stage(sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
+            F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"),
+            F.first("registers").alias("registers")), "classes")
 
     source = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
     likely = F.col("likely") >= LEAST_ESTIMATE
@@ -450,8 +454,7 @@ def _components_of_rows(docs: DataFrame, doc_id: str, text: str, stage: Stage) -
     by_class = reps.select("set_key", "id").join(labels.toDF("id", "label"), "id", "left").select(
         "set_key", F.coalesce("label", "id").alias("component"))
     by_id = labels.toDF("doc_id", "own")
-    found = (sketches.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
-             .join(by_id, "doc_id", "left"))
+    found = rows.join(by_class, "set_key", "left").join(by_id, "doc_id", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(
         F.coalesce(F.least("component", "own"), "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
