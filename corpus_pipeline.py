@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm import byte_cnn, mixing, setsketch, suffix_trees, word_bpe
 from furrow.llm.queries import vocabulary_path
-from furrow.sources.stages import stage
+from furrow.sources.stages import WorkingTables, lifetime, stage
 
 #: row_key names a row in all stages: ids may be null or repeated.
 #: mix_position is null until the mixing stage sets it: files may be read in any order.
@@ -86,7 +86,18 @@ ORACLE_SQL = None  # a trained network, sketches and a vocabulary: tested agains
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in a row. What a stage writes on its way goes at its end, and its input once its
+    output is written; the mixed documents stay, as the last stage reads them when asked to."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), WorkingTables()
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"corpus-{name.replace(' ', '-')}")
+        written = WorkingTables()
+        try:
+            with lifetime():
+                docs = written(step(spark, docs, sf_dir), f"corpus-{name.replace(' ', '-')}")
+        except BaseException:
+            written.drop()
+            raise
+        finally:
+            read.drop()
+        read = written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +26,20 @@ def stage_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
 
 
-def _write(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def _write(df: DataFrame, tag: str, owner: WorkingTables | None) -> DataFrame:
+    """The owner knows the table before it is written, so a broken write is deleted too."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/furrow/{tag}-{uuid4().hex}"
+    if owner is not None:
+        owner.own(spark, path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as a parquet stage table and return the scan of it."""
-    return _write(df, tag)[0]
+    """Write `df` as a parquet stage table and return the scan of it. Within a `lifetime` the table
+    is deleted at its end, else it stays."""
+    return _write(df, tag, _LIFETIME.get())
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -50,9 +55,10 @@ class WorkingTables:
         self._owned: list[tuple[SparkSession, str]] = []
 
     def __call__(self, df: DataFrame, tag: str) -> DataFrame:
-        table, path = _write(df, tag)
-        self._owned.append((df.sparkSession, path))
-        return table
+        return _write(df, tag, self)
+
+    def own(self, spark: SparkSession, path: str) -> None:
+        self._owned.append((spark, path))
 
     def kept(self, df: DataFrame, tag: str) -> DataFrame:
         return stage(df, tag)
@@ -75,6 +81,24 @@ def working_tables() -> Iterator[WorkingTables]:
         tables.drop()
 
 
+#: Owner of the tables that `stage` writes, if any.
+_LIFETIME: ContextVar[WorkingTables | None] = ContextVar("lifetime", default=None)
+
+
+@contextmanager
+def lifetime() -> Iterator[None]:
+    """All tables that `stage` writes inside, in whatever function, are deleted at the end, also when
+    it fails. Results have to be written elsewhere before: a lazy one would read deleted tables. Of
+    nested lifetimes the innermost owns a table."""
+    tables = WorkingTables()
+    outer = _LIFETIME.set(tables)
+    try:
+        yield
+    finally:
+        _LIFETIME.reset(outer)
+        tables.drop()
+
+
 def tune(spark: SparkSession, broadcast_limit: str = "64MB") -> SparkSession:
     """Session settings the joins rely on; all of them are runtime SQL settings."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast_limit)
