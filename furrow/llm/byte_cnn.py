@@ -142,24 +142,35 @@ def windows_of(data: bytes) -> np.ndarray:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang",
           seed: int = 1, documents: int = SAMPLE_DOCUMENTS, per_document: int = SAMPLE_WINDOWS,
           epochs: int = EPOCHS) -> Model | None:
-    """Fits on `documents` labelled texts, chosen by a hash of their ids, and `per_document`
+    """Fits on `documents` labelled texts, chosen by a hash of the row, and `per_document`
     stretches of WINDOW characters of each, at places chosen by a hash. None without any.
 
-    Rows with a null text or label, or without a letter, teach nothing.
+    Rows with a null text or label, or without a letter, teach nothing. Rows that are equal in id,
+    text and label are ties: whichever of them are chosen, the sample is the same. Partitions send
+    only rows whose hash is below a bound that about `documents` rows of the table are below.
     """
     rows = docs.select(docs[doc_id].alias("i"), docs[text].cast("string").alias("t"),
                        docs[label].cast("string").alias("l"))
     rows = rows.where("l is not null and t rlike '\\\\p{L}'")
     places = F.expr(f"transform(sequence(1, {per_document}), k -> substring(t, cast(1 + "
                     f"pmod(xxhash64(i, k), greatest(1, length(t) - {WINDOW - 1})) as int), {WINDOW}))")
-    chosen = (rows.select("i", "l", places.alias("w"))
-              .orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(documents).collect())
+    hashed = rows.withColumn("h", F.xxhash64("i", "t", "l", F.lit(seed)))
+    candidates = hashed.where(F.col("h") <= hash_bound(rows.count(), documents))
+    chosen = (candidates.select("i", "l", "h", places.alias("w"))
+              .orderBy("h", "i", "l", "w").limit(documents).collect())
     data = [(w.encode()[:WINDOW], row.l) for row in chosen for w in dict.fromkeys(row.w) if w]
     if not data:
         return None
     return fit(np.concatenate([windows_of(x) for x, _ in data]), [x for _, x in data], seed, epochs)
 
 
+def hash_bound(rows: int, wanted: int) -> int:
+    """A bound that at least `wanted` of `rows` 64-bit hashes are below, all if they are fewer; the
+    number of rows below it is ten deviations more."""
+    share = (wanted + 10 * wanted ** 0.5 + 50) / max(1, rows)
+    return (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)
+
+
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id",
             text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, *keep) of every row, from all windows of its whole text.

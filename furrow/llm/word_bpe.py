@@ -7,6 +7,7 @@ bucket that owns it, and its ids are joined back to every place where the word s
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -48,11 +49,59 @@ def _tokenizer(vocabulary: str):
 def _vocabulary(docs: DataFrame, path: str):
     """The vocabulary file (its size is fixed, about 3 MB) for every worker."""
     with open(path, encoding="utf-8") as file:
-        return docs.sparkSession.sparkContext.broadcast(file.read())
+        text = file.read()
+    check_by_words(text)
+    return docs.sparkSession.sparkContext.broadcast(text)
+
+
+#: ASCII white space, at which words part, and words that pre-tokenizers treat differently.
+BLANKS = " \t\n\v\f\r"
+PROBES = ("word", "It's", "x1,y2", "(3.50)", "Ä-ß", "\u4e2d\u6587", "<|endoftext|>", "e\u0301", "'", "--")
+#: Parts of a normalizer that look at one word at most.
+_WORDWISE = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+
+
+def check_by_words(vocabulary: str) -> None:
+    """Raises ValueError unless a text's ids are the ids of its words in a row, for any text.
+
+    Added tokens may not contain white space or take it in, nothing may be put around a text, the
+    normalizer may change words or white space but not across them, and the pre-tokenizer has to
+    part and drop white space; the last is tried on every pair of PROBES around every blank."""
+    from tokenizers import Tokenizer
+
+    made = json.loads(vocabulary)
+    for token in made.get("added_tokens") or []:
+        if token["lstrip"] or token["rstrip"] or token["single_word"] or token["content"].split() != [token["content"]]:
+            raise ValueError(f"added token {token['content']!r} reaches beyond a word")
+    if made.get("post_processor") is not None:
+        raise ValueError("the post-processor sees whole texts")
+    normalizer = made.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    for part in normalizer.get("normalizers", [normalizer]):
+        blanks_only = part["type"] == "Replace" and part["pattern"] == {"Regex": r"\s+"} and not part["content"].strip()
+        if part["type"] not in _WORDWISE and not blanks_only:
+            raise ValueError(f"the normalizer {part['type']} may change words by what stands around them")
+    tokenizer = Tokenizer.from_str(vocabulary)
+
+    def ids(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    alone = {word: ids(word) for word in PROBES}
+    texts = [(a + blank + b, alone[a] + alone[b]) for a in PROBES for b in PROBES for blank in BLANKS]
+    texts += [(blank + a + blank * 2, alone[a]) for a in PROBES for blank in BLANKS]
+    for text, want in texts:
+        if ids(text) != want:
+            raise ValueError(f"the pre-tokenizer keeps white space or joins words: {text!r}")
+
+
+def check_joined_by_blanks(vocabulary: str) -> None:
+    """Raises ValueError unless the vocabulary has no decoder: then pieces are joined by blanks."""
+    if json.loads(vocabulary).get("decoder") is not None:
+        raise ValueError("the vocabulary has a decoder of its own")
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Returns (doc_id, ids array<int>), one row per document.
+    """Returns (doc_id, ids array<int>), one row per document; ValueError for a vocabulary that does
+    not encode words one by one.
 
     A null text has the ids of an empty one: none. Repeated rows and documents without an id keep
     their own rows. Further columns are left out, whatever their names. Special tokens' strings
@@ -160,12 +209,16 @@ def _id_batch(doc_ids: list, ids: list[np.ndarray], types: pa.Schema) -> pa.Reco
 def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame:
     """Adds `decoded`, the text of `ids`: each id is joined with its piece, in order.
 
-    The id-to-piece table is the vocabulary, of fixed size, and goes to every worker. A null or
+    The id-to-piece table is the vocabulary, of fixed size, and goes to every worker; a vocabulary
+    with a decoder is a ValueError. A null or
     empty list gives an empty text. Columns of `encoded` other than doc_id, ids and `keep` are left out.
     """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        vocabulary = file.read()
+    check_joined_by_blanks(vocabulary)
+    tokenizer = Tokenizer.from_str(vocabulary)
     table = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     shared = encoded.sparkSession.sparkContext.broadcast(table)
 
