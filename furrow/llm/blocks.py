@@ -13,10 +13,11 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 12
@@ -35,6 +36,26 @@ _NOTE_TYPES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("body",
 Batches = Iterator[pa.RecordBatch]
 
 
+#: Bytes that Spark hands to a worker at once where batches are bounded.
+HANDED_BYTES = 4 << 20
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession, size: int = HANDED_BYTES) -> Iterator[None]:
+    """Within it, what is written takes rows to workers in batches of about `size` bytes, however long
+    texts are (Spark's own limit of 64 MB is buffered on both sides, for each worker). The session's
+    setting is put back at the end; a smaller one is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    known = int(before.rstrip("bB")) if before.rstrip("bB").isdigit() else None
+    if known is None or known > size:
+        spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def block_of(doc_id: Column) -> Column:
     return F.coalesce(F.shiftright(doc_id.cast("long"), BLOCK_BITS), F.lit(NO_ID))
 

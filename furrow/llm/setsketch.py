@@ -421,7 +421,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
        components; their distances to it, counted in registers, must differ by no more than a
        link allows (triangle inequality), which leaves out nearly all of the others.
     """
-    with working_tables() as stage:
+    with blocks.bounded_batches(docs.sparkSession), working_tables() as stage:
         return stage.kept(_components_of_rows(docs, doc_id, text, stage), "near-duplicates")
 
 
