@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import byte_cnn, mixing, setsketch, suffix_trees, word_bpe
+from furrow.llm import blocks, byte_cnn, mixing, setsketch, suffix_trees, word_bpe
 from furrow.llm.queries import vocabulary_path
 from furrow.sources.stages import WorkingTables, lifetime, stage
 
@@ -25,7 +25,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = byte_cnn.train(docs)
     known = byte_cnn.predict(docs, model, keep=["text", "source", "n_chars"]).where(
         (F.col("lang_pred") != byte_cnn.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    known = stage(known.withColumn("row", F.monotonically_increasing_id()), "languages")
+    with blocks.bounded_batches(spark):
+        known = stage(known.withColumn("row", F.monotonically_increasing_id()), "languages")
     named = known.where("doc_id is not null")
     repeated = stage(named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("row").alias("first"))
                      .where("n > 1").select("doc_id", "first"), "repeated-ids")
