@@ -237,3 +237,24 @@ def test_multiplied_master_rows_are_neither_joined_nor_shuffled(spark):
     body = text[:text.index("\n(1)")]
     above = body[:body.index("Generate")]
     assert "Join" not in above and "Exchange" not in above
+
+
+def test_tables_are_broadcast_by_what_they_take_in_memory(spark):
+    tune(spark)
+    rows = spark.range(600_000).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"))
+    lookup = stage(rows, "compact-lookup")  # a file of about 3 MB, over 19 MB of rows
+    few = stage(rows.where("id < 1000"), "small-lookup")
+    assert "BroadcastHashJoin" not in plan(attach(rows.select("id"), lookup, ["id"]))
+    assert "BroadcastHashJoin" in plan(attach(rows.select("id"), few, ["id"]))
+
+
+def test_a_session_with_a_lower_broadcast_limit_keeps_it(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        for set_to, left in [("256k", "256k"), ("-1", "-1"), ("1g", "10MB"), ("20971520b", "10MB"), ("3000", "3000")]:
+            spark.conf.set(key, set_to)
+            tune(spark)
+            assert spark.conf.get(key) == left
+    finally:
+        spark.conf.set(key, before)
