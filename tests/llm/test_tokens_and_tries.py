@@ -148,6 +148,16 @@ def test_products_of_sparse_rows(seed):
     assert (np.bincount(row, minlength=9) == token_links.group_link_count(group_a, group_b, 4)).all()
 
 
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_links_of_groups_come_in_parts(most):
+    rng = np.random.default_rng(most)
+    group_a, group_b = np.sort(rng.integers(0, 4, 30)), np.sort(rng.integers(0, 4, 20))
+    whole = list(zip(*(x.tolist() for x in token_links.group_links(group_a, group_b, 4))))
+    parts = list(token_links.group_link_parts(group_a, group_b, 4, most))
+    assert [e for part in parts for e in zip(*(x.tolist() for x in part))] == whole
+    assert all(len(row) <= max(most, 20) for row, _, _ in parts)
+
+
 def _spans(sizes):
     ends = np.cumsum(sizes)
     return list(zip((ends - sizes).tolist(), ends.tolist()))
