@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.sources.schemas import SCHEMAS
+from furrow.sources.stages import stage
 
 PIXEL_BAND = 8192
+#: Pixel rows of a bucket; aligning them takes about 160 bytes a row of a task's memory.
+ROWS_PER_BUCKET = 2_000_000
 
 
 def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,9 +54,12 @@ def write_pixels(pixels: DataFrame, path: str, band: int = PIXEL_BAND) -> None:
 
 def save_pixels(pixels: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """Pixel table bucketed by cell: all layers and years of a cell share a bucket, so aligning
-    them is an aggregation without a shuffle. Choose `buckets` so that one fits a task."""
+    them is an aggregation without a shuffle. A bucket is one task's, so there are at least `buckets`
+    and more of them by the number of pixels, not larger ones."""
     cell = ["cell_row", "cell_col"]
-    pixels.repartition(buckets, *cell).write.mode("overwrite").bucketBy(buckets, *cell) \
+    held = stage(pixels, "pixel_rows")
+    buckets = max(buckets, -(-held.count() // ROWS_PER_BUCKET))
+    held.repartition(buckets, *cell).write.mode("overwrite").bucketBy(buckets, *cell) \
         .option("path", path).saveAsTable(table)
     return pixels.sparkSession.table(table)
 
