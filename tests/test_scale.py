@@ -3,6 +3,7 @@
 import contextlib
 import io
 import re
+from uuid import uuid4
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from furrow.operators import carbon as E
 from furrow.operators import flows as T
 from furrow.operators import grid as S
 from furrow.operators.relational import attach, nest_samples, unnest_samples
+from furrow.sources import tables
 from furrow.sources.stages import stage, stage_root, tune
 from verification import impact_checks as C
 from verification.grid_checks import bucketed
@@ -258,3 +260,28 @@ def test_a_session_with_a_lower_broadcast_limit_keeps_it(spark):
             assert spark.conf.get(key) == left
     finally:
         spark.conf.set(key, before)
+
+
+def test_buckets_of_pixels_grow_in_number(spark, monkeypatch):
+    def buckets(table):
+        path = f"{stage_root(spark)}/furrow/{table}"
+        pixels = spark.range(1000).selectExpr("'cover' AS layer", "id AS cell_row", "id % 7 AS cell_col")
+        saved = tables.save_pixels(pixels, table, path, 8)
+        assert saved.count() == 1000
+        text = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+        spark.sql(f"DROP TABLE {table}")
+        return int(text["Num Buckets"])
+
+    assert buckets(f"pixels_{uuid4().hex}") == 8
+    monkeypatch.setattr(tables, "ROWS_PER_BUCKET", 50)
+    assert buckets(f"pixels_{uuid4().hex}") == 20
+
+
+def test_cells_are_found_once_for_all_layers(spark):
+    assert "Exchange" not in plan(load(spark, SF_DIR, "pixel"))
+
+
+def test_tasks_read_little_and_partitions_are_many(spark):
+    tune(spark)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == 400
