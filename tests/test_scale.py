@@ -284,4 +284,4 @@ def test_cells_are_found_once_for_all_layers(spark):
 def test_tasks_read_little_and_partitions_are_many(spark):
     tune(spark)
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
-    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == 400
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == 200
