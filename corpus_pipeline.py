@@ -1,4 +1,7 @@
-"""A corpus from raw documents to token ids, in stages that are written and read again."""
+"""A corpus from raw documents to token ids, in stages that are written and read again.
+
+Stages return lazy results, so those that run workers lower the session's limit on what workers are
+handed at once (`blocks.bound_batches`) and leave it so."""
 
 from __future__ import annotations
 
@@ -21,12 +24,12 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     without letters, null texts and texts without a clear language go.
 
     `row_key` is the id; further rows of an id and rows without one get keys behind all ids."""
+    blocks.bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), *COLUMNS[1:5])
     model = byte_cnn.train(docs)
     known = byte_cnn.predict(docs, model, keep=["text", "source", "n_chars"]).where(
         (F.col("lang_pred") != byte_cnn.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    with blocks.bounded_batches(spark):
-        known = stage(known.withColumn("row", F.monotonically_increasing_id()), "languages")
+    known = stage(known.withColumn("row", F.monotonically_increasing_id()), "languages")
     named = known.where("doc_id is not null")
     repeated = stage(named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("row").alias("first"))
                      .where("n > 1").select("doc_id", "first"), "repeated-ids")
@@ -49,6 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand earlier; documents of which nothing is left go."""
+    blocks.bound_batches(spark)
     cut = suffix_trees.remove_repeats(docs, doc_id="row_key").where(
         "n_removed = 0 or n_removed < n_words").select(
         F.col("doc_id").alias("row_key"), F.col("text").alias("left_text"))
@@ -65,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, the text that they decode to, and the text's place in the mixed
     order, by which texts are encoded and joined: it is one row's own."""
+    blocks.bound_batches(spark)
     path = vocabulary_path()
     place = F.coalesce("mix_position", F.raise_error(F.lit("a document has no mix_position")).cast("long"))
     docs = docs.withColumn("mix_position", place)

@@ -1,11 +1,13 @@
 """Bounds of what workers and the driver are handed, refused vocabularies, and plain versions of models."""
 
 import json
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from furrow.llm import blocks, byte_cnn, queries, weak_rules, word_bpe
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -31,6 +33,38 @@ def test_batches_are_bounded_and_the_setting_is_put_back(spark):
     assert spark.conf.get(SETTING) == before
 
 
+def test_results_written_later_are_handed_over_in_small_batches(spark):
+    before = spark.conf.get(SETTING)
+    rows = [(i, f"some words of text {i}", i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mix_position long")
+    try:
+        spark.conf.set(SETTING, "64MB")
+        encoded = corpus_pipeline.encode(spark, docs, "")
+        assert int(spark.conf.get(SETTING)) == blocks.HANDED_BYTES
+        assert encoded.count() == 3
+        spark.conf.set(SETTING, "1000")  # the smaller limit holds
+        blocks.bound_batches(spark)
+        assert spark.conf.get(SETTING) == "1000"
+    finally:
+        spark.conf.set(SETTING, before)
+
+
+def test_a_batch_is_read_piece_by_piece():
+    texts = [None if i % 7 == 0 else "ä" * (i * 997 % 20_000) for i in range(1500)] + ["x" * (3 << 20), "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["n", "t"])
+    empty = batch.slice(0, 0)
+    want = [(i, None if t is None else t.encode()) for i, t in enumerate(texts)]
+    assert list(blocks.read(iter([empty, batch, empty]))) == want
+    rows = blocks.read(iter([batch]))
+    tracemalloc.start()
+    try:
+        for _ in rows:
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20 < batch.nbytes
+    finally:
+        tracemalloc.stop()
+
+
 # --- the training sample -------------------------------------------------------------------------
 
 @pytest.mark.parametrize("rows", [0, 1, 3000, 3700, 10_000, 2_000_000])
