@@ -14,7 +14,7 @@ from furrow.functions.quantiles import group_quantiles
 from furrow.operators import carbon as E
 from furrow.operators import flows as T
 from furrow.operators import grid as S
-from furrow.operators.relational import attach, nest_samples, unnest_samples
+from furrow.operators.relational import attach, nest_samples, spread, unnest_samples
 from furrow.sources import tables
 from furrow.sources.stages import stage, stage_root, tune
 from verification import impact_checks as C
@@ -285,3 +285,10 @@ def test_tasks_read_little_and_partitions_are_many(spark):
     tune(spark)
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) == 200
+
+
+def test_tasks_multiply_few_rows_however_many_there_are(spark):
+    for rows in (1000, 3000):
+        text = plan(spread(spark.range(rows), ["id"], 40_000))
+        parts = int(re.search(r"hashpartitioning\(id#\d+L?, (\d+)\)", text)[1])
+        assert rows * 40_000 / parts <= 500_000
