@@ -14,7 +14,7 @@ from furrow.functions.quantiles import group_quantiles
 from furrow.operators import carbon as E
 from furrow.operators import flows as T
 from furrow.operators import grid as S
-from furrow.operators.relational import attach, nest_samples, spread, unnest_samples
+from furrow.operators.relational import attach, keep_matches, nest_samples, spread, unnest_samples
 from furrow.sources import tables
 from furrow.sources.stages import stage, stage_root, tune
 from verification import impact_checks as C
@@ -250,6 +250,14 @@ def test_tables_are_broadcast_by_what_they_take_in_memory(spark):
     assert "BroadcastHashJoin" in plan(attach(rows.select("id"), few, ["id"]))
 
 
+def test_key_columns_are_broadcast_by_what_they_take_in_memory(spark):
+    """The planner holds a key for a tenth of this file, by its type; it is nearly all of it."""
+    tune(spark)
+    constants = [F.lit("x").alias(f"c{i}") for i in range(5)]
+    keys = stage(spark.range(600_000).select("id", *constants), "wide-lookup").select("id")
+    assert "BroadcastHashJoin" not in plan(keep_matches(spark.range(600_000), keys, ["id"]))
+
+
 def test_a_session_with_a_lower_broadcast_limit_keeps_it(spark):
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
