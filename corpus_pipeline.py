@@ -51,12 +51,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand earlier; documents of which nothing is left go."""
+    """Texts without passages that stand earlier; documents of which nothing is left go. The other
+    columns travel with the texts: joining them would send all texts once more."""
     blocks.bound_batches(spark)
-    cut = suffix_trees.remove_repeats(docs, doc_id="row_key").where(
-        "n_removed = 0 or n_removed < n_words").select(
-        F.col("doc_id").alias("row_key"), F.col("text").alias("left_text"))
-    return (docs.join(cut, "row_key").withColumn("text", F.col("left_text"))
+    others = ["own_id", "lang", "source", "mix_position"]
+    cut = suffix_trees.remove_repeats(docs.withColumnRenamed("doc_id", "own_id"), doc_id="row_key", keep=others)
+    return (cut.where("n_removed = 0 or n_removed < n_words")
+            .withColumnsRenamed({"doc_id": "row_key", "own_id": "doc_id"})
             .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 

@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _finish(rows: Iterator[tuple]) -> blocks.Batches:
     def results():
-        for doc_id, text, starts, counts in rows:
+        for doc_id, text, starts, counts, _ in rows:
             text = text or b""
             if not len(starts):
                 yield doc_id, len(text), 0, [], text

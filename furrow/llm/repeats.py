@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 from typing import NamedTuple
 
@@ -77,9 +77,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 def repeated_windows(docs: DataFrame, unit: Unit, solve: Callable[[Strings], Iterator],
                      finish: Callable, schema: str, doc_id: str, text: str,
-                     hot: int = HOT_NOTES) -> DataFrame:
-    """`finish(rows)` per block; rows are (doc_id, text, starts, counts) with the first and the
-    number of the repeated windows of each document. `solve` yields (string, first, count)."""
+                     hot: int = HOT_NOTES, keep: Sequence[str] = ()) -> DataFrame:
+    """`finish(rows)` per block; rows are (doc_id, text, starts, counts, kept) with the first and the
+    number of the repeated windows of each document and its columns named by `keep`. `solve` yields
+    (string, first, count)."""
     rows = blocks.texts(docs, doc_id, text)
     n = blocks.bucket_count(docs)
 
@@ -101,7 +102,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, solve: Callable[[Strings], Ite
     known = blocks.answer(blocks.ask(rows, minimizers), repeated)
     notes = blocks.use(rows, known, strings, blocks.NOTES, ordered=True)
     found = blocks.answer(notes, compared)
-    return blocks.use(rows, found, finished, schema, ordered=True)
+    return blocks.use(blocks.texts(docs, doc_id, text, keep), found, finished, schema, ordered=True)
 
 
 # --- step 1 --------------------------------------------------------------------------------------
@@ -296,10 +297,10 @@ def later_spans(later: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 # --- step 3 --------------------------------------------------------------------------------------
 
 def _marked(batches) -> Iterator[tuple]:
-    """(doc_id, text, starts, counts) of each document."""
+    """(doc_id, text, starts, counts, kept columns) of each document."""
     for _, own in groupby(blocks.read(batches), key=lambda row: row[0]):
         spans, place, by = [], 0, None
-        for _, kind, doc_id, text, body in own:
+        for _, kind, doc_id, text, body, *kept in own:
             if kind == 0:
                 spans.append(unpack(blocks.unpack(body)))
                 continue
@@ -307,7 +308,7 @@ def _marked(batches) -> Iterator[tuple]:
                 by = _by_document(spans)
             doc, start, count = by
             a, b = np.searchsorted(doc, [place, place + 1])
-            yield doc_id, text, start[a:b], count[a:b]
+            yield doc_id, text, start[a:b], count[a:b], kept
             place += 1
 
 

@@ -8,11 +8,12 @@ stands first in the corpus stays, the others are removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from furrow.llm import blocks, repeats
 from furrow.llm.words import word_hashes
@@ -111,35 +112,40 @@ def solve(strings: repeats.Strings, width: int = WIDTH, most: int = GROUP_SUFFIX
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                   hot: int = repeats.HOT_NOTES) -> DataFrame:
+                   hot: int = repeats.HOT_NOTES, keep: Sequence[str] = ()) -> DataFrame:
     """Removes words covered by a window of WIDTH words that also starts earlier in the corpus.
 
     Earlier: smaller id, or same text and earlier start; rows of one id are ordered by text, rows
     without an id come last. Windows are judged on the input. Returns one row per input row:
     doc_id, n_words, n_removed, `spans` of removed words, `kept` (kept words joined by one space),
     and `text`, the input without the removed words and the white space behind them; a text from
-    which nothing is removed is unchanged. A null text has no words and stays null. Other columns
-    are left out. Words are compared by 64-bit hashes.
+    which nothing is removed is unchanged. A null text has no words and stays null. Columns named by
+    `keep` (atomic types) travel with their row and stand last, other columns are left out. Words are
+    compared by 64-bit hashes.
     """
-    return repeats.repeated_windows(docs, UNIT, solve, _finish, _SCHEMA, doc_id, text, hot)
+    kept = [docs.schema[c] for c in keep]
+    types = pa.schema([*_TYPES, *((c.name, to_arrow_type(c.dataType)) for c in kept)])
+    schema = ", ".join([_SCHEMA, *(f"`{c.name}` {c.dataType.simpleString()}" for c in kept)])
+    return repeats.repeated_windows(docs, UNIT, solve, lambda rows: _finish(rows, types), schema,
+                                    doc_id, text, hot, keep)
 
 
-def _finish(rows: Iterator[tuple]) -> blocks.Batches:
+def _finish(rows: Iterator[tuple], types: pa.Schema) -> blocks.Batches:
     def results():
-        for doc_id, text, starts, counts in rows:
+        for doc_id, text, starts, counts, own in rows:
             words = (text or b"").split()
             removed = repeats.covered(len(words), starts, counts, WIDTH)
             if not removed.any():
                 kept = b" ".join(words)
-                yield doc_id, len(words), 0, [], kept.decode(), None if text is None else text.decode()
+                yield doc_id, len(words), 0, [], kept.decode(), None if text is None else text.decode(), *own
                 continue
             begin, end = repeats.spans_of(removed)
             kept = b" ".join(w for w, r in zip(words, removed.tolist()) if not r)
             yield (doc_id, len(words), int(removed.sum()),
                    [{"begin": a, "end": b} for a, b in zip(begin.tolist(), end.tolist())],
-                   kept.decode(), _without(text, begin, end).decode())
+                   kept.decode(), _without(text, begin, end).decode(), *own)
 
-    return blocks.results(results(), _TYPES, 8192)
+    return blocks.results(results(), types, 8192)
 
 
 def _without(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:

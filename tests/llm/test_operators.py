@@ -2,7 +2,9 @@
 
 import base64
 import collections
+import contextlib
 import hashlib
+import io
 
 import numpy as np
 import pytest
@@ -304,6 +306,16 @@ def test_word_repeats(request, source, hot):
     assert all((r.text or "").encode().split() == r.kept.encode().split() for r in rows)
 
 
+def test_word_repeats_keep_columns_with_their_rows(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(2, f"{passage} two", "é", None, 2.5), (1, passage, None, 7, 1.5), (None, None, "x", 8, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, `n chars` long, weight double")
+    got = suffix_trees.remove_repeats(frame, keep=["source", "n chars", "weight"])
+    assert got.columns[-3:] == ["source", "n chars", "weight"]
+    assert {(r.doc_id, r.n_removed, *r[-3:]) for r in got.collect()} == {
+        (1, 0, None, 7, 1.5), (2, 30, "é", None, 2.5), (None, 0, "x", 8, None)}
+
+
 def test_repeats_of_nothing(none):
     assert column_bwt.remove_repeats(none).count() == suffix_trees.remove_repeats(none).count() == 0
 
@@ -568,6 +580,15 @@ def test_pipeline(spark, documents):
     assert set(ids) == set(left) and all(n > 0 for n in ids.values())
 
 
+def test_pipeline_sends_no_text_after_passages_are_cut(spark, documents):
+    frame = documents.selectExpr("*", "doc_id AS row_key", "CAST(NULL AS LONG) AS mix_position")
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        corpus_pipeline.cut_repeated_passages(spark, frame, SF_DIR).explain()
+    assert "Join" not in text.getvalue()
+    assert "Exchange" not in text.getvalue().split("MapInArrow")[0]
+
+
 def test_pipeline_of_nothing_and_odd_rows(spark, docs, none):
     for frame in (docs, none):
         for _, step in corpus_pipeline.STAGES:
