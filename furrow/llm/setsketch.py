@@ -207,15 +207,17 @@ def among(rows: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
 
     A bitmap of hashed ids, of a bounded size and hence broadcast, leaves out nearly all other rows
     where they lie; with more ids than it has bits it only leaves out less. The semi-join after it
-    is exact, and what it shuffles is about as much as it returns."""
+    is exact, and what it shuffles is about as much as it returns. It compares the bitmap's page too:
+    on columns of the rows alone the planner would move it below the bitmap, where it shuffles all rows."""
     slot = F.pmod(F.xxhash64(name), F.lit(SLOTS)) + 1
     pages = (ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("page"))
              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")))
-    placed = rows.withColumns({"page": F.bitmap_bucket_number(slot), "place": F.bitmap_bit_position(slot)})
+    placed = rows.withColumns({"row_page": F.bitmap_bucket_number(slot), "place": F.bitmap_bit_position(slot)})
     byte = F.expr("cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as long)")
-    found = placed.join(F.broadcast(pages), "page").where(
+    found = placed.join(F.broadcast(pages), F.col("row_page") == F.col("page")).where(
         F.getbit(byte, (F.col("place") % 8).cast("int")) == 1)
-    return found.select(*rows.columns).join(ids.select(name), name, "left_semi")
+    exact = ids.select(name, F.bitmap_bucket_number(slot).alias("page"))
+    return found.join(exact, [name, "page"], "left_semi").select(*rows.columns)
 
 
 def ends(pairs: DataFrame) -> DataFrame:

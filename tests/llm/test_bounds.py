@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from furrow.llm import blocks, byte_cnn, queries, weak_rules, word_bpe
+from furrow.llm import blocks, byte_cnn, queries, setsketch, weak_rules, word_bpe
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -49,6 +49,26 @@ def test_results_written_later_are_handed_over_in_small_batches(spark):
         spark.conf.set(SETTING, before)
 
 
+def test_rows_of_other_ids_are_left_out_before_they_are_shuffled(spark):
+    """Too many ids to broadcast: the bitmap stands below the exchange of the rows, not above it."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {key: spark.conf.get(key, None) for key in keys}
+    ids = spark.createDataFrame([(3,), (3,), (500,), (None,), (-7,)], "id long")
+    rows = spark.range(1000).union(spark.range(3, 4)).selectExpr("nullif(id, 9) AS id", "id * 2 AS v")
+    try:
+        for key in keys:
+            spark.conf.set(key, "-1")
+        found = setsketch.among(rows, ids)
+        text = found._jdf.queryExecution().toString()
+        text = text[text.index("Physical Plan"):]
+        assert text.index("SortMergeJoin") < text.index("BroadcastHashJoin")
+        assert found.columns == ["id", "v"]
+        assert sorted(map(tuple, found.collect())) == [(3, 6), (3, 6), (500, 1000)]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_a_batch_is_read_piece_by_piece():
     texts = [None if i % 7 == 0 else "ä" * (i * 997 % 20_000) for i in range(1500)] + ["x" * (3 << 20), "", None]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["n", "t"])
