@@ -1,23 +1,29 @@
 """Plans and skew: what must hold when the tables grow by orders of magnitude."""
 
 import contextlib
+import gc
 import io
 import re
+import time
 from uuid import uuid4
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from furrow import constants as K
 from furrow.functions import quantiles
 from furrow.functions.quantiles import group_quantiles
 from furrow.operators import carbon as E
 from furrow.operators import flows as T
 from furrow.operators import grid as S
+from furrow.operators import impact as I
+from furrow.operators import logistics as D
 from furrow.operators.relational import attach, keep_matches, nest_samples, spread, unnest_samples
 from furrow.sources import tables
-from furrow.sources.stages import stage, stage_root, tune
+from furrow.sources.stages import stage, stage_parts, stage_root, tune
 from verification import impact_checks as C
+from verification import views
 from verification.grid_checks import bucketed
 from verification.views import load
 
@@ -300,3 +306,48 @@ def test_tasks_multiply_few_rows_however_many_there_are(spark):
         text = plan(spread(spark.range(rows), ["id"], 40_000))
         parts = int(re.search(r"hashpartitioning\(id#\d+L?, (\d+)\)", text)[1])
         assert rows * 40_000 / parts <= 500_000
+
+
+def _shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+    return {b for b in (str(blocks.apply(i)) for i in range(blocks.size())) if b.startswith("shuffle_")}
+
+
+def test_shuffle_files_of_a_stage_table_are_deleted(spark):
+    gc.collect()
+    before = _shuffle_files(spark)
+    held = stage(spark.range(10_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "dropped")
+    for _ in range(50):
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert held.count() == 7
+
+
+@pytest.mark.parametrize("name", views.BY_LINE)
+def test_views_held_in_parts_have_the_rows_of_the_view(spark, monkeypatch, name):
+    monkeypatch.setattr(views, "LINES", 2000)
+    parts = []
+    monkeypatch.setattr(views, "stage_parts", lambda frames, tag: stage_parts(
+        (parts.append(1) or f for f in frames), tag))
+    held, whole = views.hold(spark, SF_DIR, name), load(spark, SF_DIR, name)
+    assert len(parts) > 1 and held.count() == whole.count()
+    assert held.exceptAll(whole).count() == 0 and whole.exceptAll(held).count() == 0
+
+
+def test_rows_with_a_known_node_are_not_joined(spark):
+    flows = spark.createDataFrame([(2000, "a", 1), (2000, "a", 99), (2000, "b", 99), (2000, None, 99), (2000, "a", None)],
+                                  "year int, k string, code int")
+    table = spark.createDataFrame([(1, 2000, "a", 7), (1, 2000, None, 8)], "tier int, year int, k string, candidate int")
+    asked = []
+    attached = T.attach_candidates
+    T.attach_candidates = lambda f, *a: asked.append(f.count()) or attached(f, *a)
+    try:
+        out = T.fill_node(flows, "code", table, [["k"]], lambda c: c != 99, "how", ["known", "filled"])
+    finally:
+        T.attach_candidates = attached
+    assert asked == [3]
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame(
+        [(2000, "a", 1, "known"), (2000, "a", 7, "filled"), (2000, "b", None, "filled"), (2000, None, 8, "filled"),
+         (2000, "a", None, None)], "year int, k string, code int, how string").collect()))
