@@ -351,3 +351,42 @@ def test_rows_with_a_known_node_are_not_joined(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame(
         [(2000, "a", 1, "known"), (2000, "a", 7, "filled"), (2000, "b", None, "filled"), (2000, None, 8, "filled"),
          (2000, "a", None, None)], "year int, k string, code int, how string").collect()))
+
+
+def test_links_are_one_row_until_they_multiply(spark):
+    """Categories with nulls, a null unit, repeated and lacking samples, against left joins of all rows."""
+    cats = [("m", "d1", "c1", "u"), ("m", None, "c2", "u"), ("m", "d3", "c3", None)]
+    catalogue = spark.createDataFrame(cats, "method string, damage string, impact_category string, unit_impact string")
+    links = spark.createDataFrame([(1, 2000), (2, 2000), (None, 2001)], "municipality_code int, year int")
+    carbon = spark.createDataFrame([(1, 1, 2000, "d1", "c1", "u", 1.0, 2.0), (1, 1, 2000, "d1", "c1", "u", 3.0, 4.0),
+                                    (2, 1, 2000, None, "c2", "u", 5.0, None), (2, None, 2001, "d3", "c3", None, 7.0, 8.0),
+                                    (1, 2, 1999, "d1", "c1", "u", 9.0, 9.0)],
+                                   "Id_sample int, municipality_code int, year int, damage string, impact_category string, "
+                                   "unit_impact string, i_luclu_above_biomass double, i_luclu_soc double")
+    wide = I.category_matrix(links, catalogue)
+    assert wide.count() == 3
+    got = I.master_matrix(I.attach_carbon(wide, carbon, 2), 2)
+    plain = links.crossJoin(catalogue).crossJoin(spark.range(1, 3).select(F.col("id").cast("int").alias("Id_sample")))
+    want = attach(plain, carbon, ["Id_sample", *I.CARBON_KEYS])
+    order = sorted(want.columns)
+    assert sorted(got.columns) == order
+    assert sorted(map(str, got.select(order).collect())) == sorted(map(str, want.select(order).collect()))
+    assert I.master_matrix(I.category_matrix(links, catalogue.limit(0)), 2).count() == 0
+
+
+def test_distances_of_repeated_and_missing_routes_add_up(spark):
+    link = {k: "x" for k in D.LINK_KEYS}
+    rows = [{**link, "year": y, "domestic_distance": d, "international_distance": i}
+            for y, d, i in [("1", 2.0, 3.0), ("1", 4.0, None), ("2", None, None), ("3", 1.0, 1.0)]]
+    types = ", ".join([*[f"{k} string" for k in D.LINK_KEYS], "domestic_distance double", "international_distance double"])
+    background = spark.createDataFrame(
+        [("m", "c1", "u", "d", K.LORRY, 10.0), ("m", "c1", "u", "d", K.SHIP, 100.0), ("m", "c2", "u", None, K.LORRY, None),
+         ("m", "c3", "u", "d", "Other", 1.0)], ", ".join([*[f"{k} string" for k in D.CATEGORY], "key_sim string", "impact double"]))
+    links = spark.createDataFrame([tuple(r.values()) for r in rows], types)
+    out = D.distance_impacts(links, background)
+    text = plan(out)
+    got = {(r.year, r.impact_category): (r.i_domestic_transport, r.i_international_transport) for r in out.collect()}
+    assert got == {("1", "c1"): (60.0, 300.0), ("2", "c1"): (0.0, 0.0), ("3", "c1"): (10.0, 100.0),
+                   ("1", "c2"): (0.0, 0.0), ("2", "c2"): (0.0, 0.0), ("3", "c2"): (0.0, 0.0)}
+    body = text[:text.index("\n(1)")]
+    assert body.count("- Exchange") == 1 and body.index("Join") < body.index("- Exchange")
