@@ -390,3 +390,14 @@ def test_distances_of_repeated_and_missing_routes_add_up(spark):
                    ("1", "c2"): (0.0, 0.0), ("2", "c2"): (0.0, 0.0), ("3", "c2"): (0.0, 0.0)}
     body = text[:text.index("\n(1)")]
     assert body.count("- Exchange") == 1 and body.index("Join") < body.index("- Exchange")
+
+
+def test_pixels_are_shuffled_once_each_by_cell(spark):
+    pixels = spark.range(100).selectExpr("CASE id % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'soc' ELSE 'burn' END AS layer", "CAST(1995 AS INT) AS year", "id AS cell_row", "id % 7 AS cell_col",
+                                         "CAST(id AS DOUBLE) AS y", "CAST(id AS DOUBLE) AS value")
+    for text in (plan(S.align_layers(pixels, 0.25, 0.0005)), plan(S.planted_cells(pixels, 0.25, 0.0005))):
+        exchanges = re.findall(r"hashpartitioning\((.*?), \d+\)", text)
+        assert any(re.fullmatch(r"cell_row#\d+L?, cell_col#\d+L?", x) for x in exchanges)
+        assert not any("cell_row" in x and "target" in x for x in exchanges)
+    body = plan(S.align_layers(pixels, 0.25, 0.0005))
+    assert body.index("Generate") < body.index("Exchange")
